@@ -54,9 +54,9 @@ def _(m):
 
 @query("review_queue_of_officer", f"""
 SELECT {DOC_COLUMNS} FROM m_docs d WHERE status = 'needs_review' AND EXISTS (
-  SELECT 1 FROM m_assign a WHERE a.case_id = d.case_id AND a.io_user_id = 0)""")
+  SELECT 1 FROM m_assign a WHERE a.case_id = d.case_id AND a.io_user_id = 616)""")
 def _(m):
-    return L.review_queue(m.m_docs, m.m_assign, user_id=0)
+    return L.review_queue(m.m_docs, m.m_assign, user_id=616)
 
 
 @query("review_queue_page", f"""

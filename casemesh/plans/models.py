@@ -212,7 +212,7 @@ CUSTOM_SQL = {
         "SELECT " + pick("p_size % 5", CRIMES) + " AS crime_type, "
         "CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'document' ELSE 'evidence_request' END AS requirement_type, "
         "CASE p_type WHEN 'PROMO' THEN 'FIR' WHEN 'SMALL' THEN 'Charge Sheet' ELSE p_type END AS requirement_key, "
-        "max(p_retailprice) > 1090 AS mandatory FROM part GROUP BY 1, 2, 3",
+        "max(p_retailprice) >= 999 AS mandatory FROM part GROUP BY 1, 2, 3",
     "m_tags":
         "SELECT * FROM (" + span_sql(P.PLAIN_RECOGNIZERS) + ") UNION ALL "
         "SELECT doc_id, 'PERSON', 0, 4, NULL, 'officer_correction' FROM labels WHERE toxic = 1",
@@ -275,7 +275,7 @@ class Models:
             "CASE p_type WHEN 'PROMO' THEN 'FIR' WHEN 'SMALL' THEN 'Charge Sheet' ELSE p_type END AS requirement_key",
             "p_retailprice",
         ).groupBy("crime_type", "requirement_type", "requirement_key").agg(
-            (F.max("p_retailprice") > 1090).alias("mandatory"))
+            (F.max("p_retailprice") >= 999).alias("mandatory"))
 
     def _build_m_tags(self) -> DataFrame:
         found = detect.explode_spans(
