@@ -72,5 +72,10 @@ def with_detector(
 
 
 def explode_spans(df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
-    """One row per span; the text itself is not carried."""
-    return df.select(*keep, F.explode(spans).alias("_s")).select(*keep, "_s.*")
+    """One row per span; the text itself is not carried.
+
+    The outer form is used because the optimizer derives a size filter from the plain one, which would run the
+    whole detection a second time.
+    """
+    rows = df.select(*keep, F.explode_outer(spans).alias("_s")).filter(F.col("_s").isNotNull())
+    return rows.select(*keep, "_s.*")

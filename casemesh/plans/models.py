@@ -327,9 +327,9 @@ def with_models(sql: str) -> str:
                     wanted.append(name)
 
     visit(sql)
+    body = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", sql, flags=re.I)
+    own = body != sql
     if not wanted:
-        return sql
+        return f"WITH RECURSIVE {body}" if own else sql
     ctes = ", ".join(f"{name} AS ({_model_sql(name)})" for name in wanted)
-    body = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", sql, flags=re.I)
-    joint = ", " if body != sql.lstrip() and re.match(r"\s*WITH\b", sql, re.I) else " "
-    return f"WITH RECURSIVE {ctes}{joint}{body.strip()}"
+    return f"WITH RECURSIVE {ctes}{', ' if own else ' '}{body.strip()}"
