@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, step: Callable,
-                 schema: str, at_end: Callable | None = None) -> DataFrame:
+                 schema: str, at_end: Callable | None = None, together: bool = False) -> DataFrame:
     """Rows are shuffled by ``keys``, sorted inside the partitions and streamed through ``step``.
 
     ``start(row)`` gives a key's first state, ``step(state, row)`` gives ``(state, output rows)`` and
     ``at_end(row, state)`` gives the rows to add after a key's last row. No group is ever held whole; callers
-    choose ``keys`` so that a key is bounded.
+    choose ``keys`` so that a key is bounded. ``together`` says that ``df`` is itself the result of an ordered scan
+    by the same keys: its partitions hold whole keys already, so it is only sorted anew, not shuffled.
     """
     keys = list(keys)
 
@@ -36,4 +38,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], start
         if at_end and current is not None:
             yield pd.DataFrame(list(at_end(last, state)), columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # By a hash of the keys rather than by the keys: the planner drops a repartition its input already satisfies,
+    # and adaptive execution may then change that input's partitioning without putting it back.
+    placed = df if together else df.repartition(F.xxhash64(*keys))
+    return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

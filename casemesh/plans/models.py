@@ -200,7 +200,65 @@ POLICY_ROWS = (
     ("cyber_cell", "*", "PHONE_NUMBER", "show", 80),
 )
 
+# Words of each conversation turn laid out as boxes, twelve to a line; some words have a shorter second reading.
+WORDS = r"[^\s\p{Z}]+"
+BOX_EXPRS = {
+    "page": "CAST(turn * 100 + floor(i / 240.0) + 1 AS INT)",
+    "x1": "CAST(40 + (i % 12) * 110 + (i * 17 + turn * 5) % 9 AS INT)",
+    "y1": "CAST(50 + floor((i % 240) / 12.0) * 30 + (i * 13) % 7 AS INT)",
+    "doubt": "CAST(40 + (i * 29 + doc_id * 7) % 60 AS DOUBLE) / 100",
+    "ghost_doubt": "CAST(40 + (i * 31 + doc_id * 3) % 60 AS DOUBLE) / 100",
+    "script_doubt": "CAST(15 + (i * 37 + doc_id * 11) % 85 AS DOUBLE) / 100",
+}
+BOX_SELECT = (
+    "doc_id", f"{BOX_EXPRS['page']} AS page", "CAST((i % 240) * 2 AS INT) AS box_no",
+    "CASE WHEN i % 5 = 0 THEN concat('(', word, ')') ELSE word END AS text", f"{BOX_EXPRS['doubt']} AS confidence",
+    f"{BOX_EXPRS['x1']} AS x1", f"{BOX_EXPRS['y1']} AS y1",
+    f"CAST({BOX_EXPRS['x1']} + 9 * length(word) AS INT) AS x2", f"CAST({BOX_EXPRS['y1']} + 20 AS INT) AS y2")
+GHOST_SELECT = (
+    "doc_id", f"{BOX_EXPRS['page']} AS page", "CAST((i % 240) * 2 + 1 AS INT) AS box_no",
+    "substring(word, 1, length(word) - 2) AS text", f"{BOX_EXPRS['ghost_doubt']} AS confidence",
+    f"CAST({BOX_EXPRS['x1']} + 4 AS INT) AS x1", f"CAST({BOX_EXPRS['y1']} + 2 AS INT) AS y1",
+    f"CAST({BOX_EXPRS['x1']} + 9 * length(word) - 14 AS INT) AS x2", f"CAST({BOX_EXPRS['y1']} + 19 AS INT) AS y2")
+LETTERS, SCRIPT = "abcdefghijklmnopqrstuvwxyz", "अबचदएफगहइजकलमनओपकरसतउवयझषज"
+SCRIPT_TEXT = f"translate(lower(word), '{LETTERS}', '{SCRIPT}')"
+SCRIPT_SELECT = (
+    "doc_id", f"{BOX_EXPRS['page']} AS page", "CAST(i % 240 AS INT) AS box_no",
+    f"CASE WHEN i % 4 = 0 THEN concat('(', {SCRIPT_TEXT}, '):') ELSE {SCRIPT_TEXT} END AS text",
+    f"{BOX_EXPRS['script_doubt']} AS confidence", f"CAST({BOX_EXPRS['x1']} + 1 AS INT) AS x1",
+    f"CAST({BOX_EXPRS['y1']} + 1 AS INT) AS y1", f"CAST({BOX_EXPRS['x1']} + 9 * length(word) AS INT) AS x2",
+    f"CAST({BOX_EXPRS['y1']} + 21 AS INT) AS y2")
+WORD_SQL = (
+    "SELECT doc_id, turn, role, ws[i + 1] AS word, i FROM (SELECT doc_id, turn, role, ws, unnest(range(0, len(ws))) AS i "
+    f"FROM (SELECT conv_id AS doc_id, turn, role, regexp_extract_all(text, '{WORDS}') AS ws FROM conversations))")
+
+# A registration form per order, whose header fields are known from the order.
+COMPLAINANTS = ("Ramesh Kumar", "Priya Menon", "Sunita Rao", "Amit Verma", "Kiran Bedi Shah")
+FORM_TEXT = (
+    "concat('HARYANA POLICE', chr(10), 'District: ZONE ', o_custkey % 25, ' | P.S.: STN ', o_custkey, ' | Year: ', "
+    "year(o_orderdate), chr(10), 'FIR No. ', o_orderkey, '/', year(o_orderdate) % 100 + 100, ' | Date: ', "
+    "10 + o_orderkey % 18, '/1', o_orderkey % 3, '/', year(o_orderdate), chr(10), 'Time From: 09:20 hrs', chr(10), "
+    "'1 | IPC 1860 | ', 100 + o_custkey % 400, ', ', 501 + o_orderkey % 10, chr(10), "
+    "'(b) Information received at P.S. | Time:', chr(10), '1', o_orderkey % 10, ':', 10 + o_custkey % 50, ' nrs', chr(10), "
+    "'Type of Information: Written.', chr(10), 'Complainant / Informant : Name: ', "
+    + pick("o_custkey % 5", COMPLAINANTS)
+    + ", chr(10), 'Address: House ', o_custkey, ' Model Town | x', chr(10), 'Place of Occurrence: NEAR ROAD ', o_orderkey)")
+PROJECTIONS["m_forms"] = ("orders", [("doc_id", "o_orderkey"), ("text", FORM_TEXT)], None, False)
+
+# Page markup as uploaded files of several kinds.
+BLOB_TEXT = (
+    "CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN concat('%PDF-1.4 ', CASE WHEN page_id % 4 = 1 THEN '/JS (x) ' "
+    "ELSE concat('stream', chr(10), '/JS x', chr(10), 'endstream ') END, replace(html, '/', ' ')) "
+    "WHEN 2 THEN concat('MZ', html) WHEN 3 THEN concat('#!/bin/sh ', html) WHEN 4 THEN replace(lower(html), 'script', 'p') "
+    "ELSE html END")
+BLOB_DECLARED = pick("page_id % 6", ("text/plain", "application/pdf", "text/plain", "text/csv", "text/csv", "image/png"))
+
 CUSTOM_SQL = {
+    "m_boxes": f"SELECT {', '.join(BOX_SELECT)} FROM ({WORD_SQL}) UNION ALL SELECT {', '.join(GHOST_SELECT)} "
+               f"FROM ({WORD_SQL}) WHERE length(word) >= 5 AND i % 3 = 0",
+    "m_script_boxes": f"SELECT {', '.join(SCRIPT_SELECT)} FROM ({WORD_SQL}) WHERE role = 'user'",
+    "m_blobs": f"SELECT page_id, concat('up/../', url, ' ', page_id, '.pdf') AS name, {BLOB_TEXT} AS body, "
+               f"{BLOB_DECLARED} AS declared FROM pages",
     "m_requests":
         "SELECT l_orderkey * 8 + l_linenumber AS request_id, l_orderkey AS case_id, "
         "l_suppkey AS requested_org_id, p_type AS doc_type_expected, concat(l_returnflag, '/', p_brand) AS notes, "
@@ -296,6 +354,24 @@ class Models:
             "doc_id", F.when(F.col("quality") == 0, F.sha2(F.concat("doc_hash", F.lit("x")), 256))
             .otherwise(F.col("doc_hash")).alias("ledger_hash"))
 
+    def _words(self) -> DataFrame:
+        words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
+        return self.table("conversations").select(
+            F.col("conv_id").alias("doc_id"), "turn", "role", F.posexplode(words).alias("i", "word"))
+
+    def _build_m_boxes(self) -> DataFrame:
+        words = self._words()
+        return words.selectExpr(*BOX_SELECT).unionByName(
+            words.filter("length(word) >= 5 AND i % 3 = 0").selectExpr(*GHOST_SELECT))
+
+    def _build_m_script_boxes(self) -> DataFrame:
+        return self._words().filter("role = 'user'").selectExpr(*SCRIPT_SELECT)
+
+    def _build_m_blobs(self) -> DataFrame:
+        return self.table("pages").selectExpr(
+            "page_id", "concat('up/../', url, ' ', page_id, '.pdf') AS name",
+            f"encode({BLOB_TEXT}, 'UTF-8') AS content", f"{BLOB_DECLARED} AS declared")
+
     def _build_m_attempts(self) -> DataFrame:
         mail = F.concat(F.lit("customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"),
                         F.lit("@records.example"))
