@@ -295,11 +295,14 @@ SUBMISSIONS = """s AS (SELECT event_id AS seq, user_id AS doc_id, sha256(CAST(ev
   FROM events)"""
 
 
-@query("ledger_write_once", f"""
+SUBMISSIONS_WRITE_ONCE = f"""
 WITH {SUBMISSIONS}, f AS (SELECT doc_id, arg_min(doc_hash, seq) AS h, min(seq) AS q FROM s GROUP BY doc_id)
 SELECT s.seq, s.doc_id, s.doc_hash, CASE WHEN l.ledger_hash IS NULL AND s.seq = f.q THEN 'recorded'
   WHEN s.doc_hash = coalesce(l.ledger_hash, f.h) THEN 'noop' ELSE 'conflict' END AS outcome
-FROM s JOIN f ON f.doc_id = s.doc_id LEFT JOIN m_ledger l ON l.doc_id = s.doc_id""")
+FROM s JOIN f ON f.doc_id = s.doc_id LEFT JOIN m_ledger l ON l.doc_id = s.doc_id"""
+
+
+@query("ledger_write_once", SUBMISSIONS_WRITE_ONCE)
 def _(m):
     subs = m.events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"),
                            F.sha2((F.col("event_id") % 3).cast("string"), 256).alias("doc_hash"))
