@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,22 +28,36 @@ def norm(col: Column) -> Column:
     return F.regexp_replace(F.upper(strip_space(F.coalesce(col, F.lit("")))), f"{P.SPACE}+", " ")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def not_blank(value: Column) -> Column:
+    """The value, or null when it is ''."""
+    return bind(value, lambda v: F.when(F.length(v) > 0, v))
+
+
 def count_matches(col: Column, regex: str) -> Column:
     """Characters of ``col`` in a one-character class."""
-    return F.length(col) - F.length(F.regexp_replace(col, regex, ""))
+    return F.length(col) - F.length(F.regexp_replace(col, f"{regex}+", ""))
 
 
 def text_stats(text: Column) -> Column:
     """Struct of the sizes the quality gate looks at."""
-    clean = strip_space(F.coalesce(text, F.lit("")))
-    dense = F.regexp_replace(clean, P.SPACE, "")
-    alnum = count_matches(dense, r"[\p{L}\p{N}]")
-    tokens = F.when(F.length(clean) > 0, F.split(clean, f"{P.SPACE}+")).otherwise(F.array().cast("array<string>"))
-    single = F.size(F.filter(tokens, lambda t: t.rlike(r"^[\p{L}\p{N}]$")))
-    return F.struct(
-        F.length(clean).cast("long").alias("chars"), F.length(dense).cast("long").alias("non_space"),
-        alnum.cast("long").alias("alnum"), F.size(tokens).cast("long").alias("tokens"),
-        single.cast("long").alias("single_tokens"))
+
+    def measured(clean: Column, dense: Column, tokens: Column) -> Column:
+        single = F.size(F.filter(tokens, lambda t: (F.length(t) == 1) & t.rlike(r"[\p{L}\p{N}]")))
+        return F.struct(
+            F.length(clean).cast("long").alias("chars"), F.length(dense).cast("long").alias("non_space"),
+            count_matches(dense, r"[\p{L}\p{N}]").cast("long").alias("alnum"),
+            F.size(tokens).cast("long").alias("tokens"), single.cast("long").alias("single_tokens"))
+
+    def of(clean: Column) -> Column:
+        tokens = F.when(F.length(clean) > 0, F.split(clean, f"{P.SPACE}+")).otherwise(F.array().cast("array<string>"))
+        return bind(tokens, lambda t: bind(F.array_join(t, ""), lambda dense: measured(clean, dense, t)))
+
+    return bind(strip_space(F.coalesce(text, F.lit(""))), of)
 
 
 def quality_verdict(stats: Column) -> Column:
@@ -102,14 +117,16 @@ def is_script_word(col: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
+                     dtype="float64")
 
 
 def name_similarity(claimed: Column, extracted: Column) -> Column:
-    """Similarity in 0..1 of two names after ``norm``; equal and empty names never reach Python."""
+    """Similarity in 0..1 of two names after ``norm``. Equal and empty names are settled without comparing."""
     a, b = norm(claimed), norm(extracted)
-    return (F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0))
-            .otherwise(_sequence_ratio(a, b)))
+    empty, open_ = (a == "") | (b == ""), (a != "") & (b != "") & (a != b)
+    return (F.when(empty, F.lit(0.0)).when(a == b, F.lit(1.0))
+            .otherwise(_sequence_ratio(F.when(open_, a), F.when(open_, b))))
 
 
 def levenshtein_ratio(claimed: Column, extracted: Column) -> Column:

@@ -18,34 +18,39 @@ def _no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _span(entity: str, start: Column, end: Column, confidence: int) -> Column:
-    return F.struct(
-        F.lit(entity).alias("entity_type"), start.cast("int").alias("span_start"),
-        end.cast("int").alias("span_end"), F.lit(confidence).cast("int").alias("confidence"))
-
+def _pieces(text: Column, recognizer: P.Recognizer) -> Column:
+    """What one recognizer finds: the matches, the text between them and the part of each match to keep."""
+    regex = F.lit(recognizer.regex)
+    hits = F.regexp_extract_all(text, regex, F.lit(0))
+    kept = F.regexp_extract_all(text, regex, F.lit(1)) if recognizer.tail_group else hits
+    found = F.struct(
+        F.lit(recognizer.entity_type).alias("kind"), F.lit(recognizer.confidence).alias("confidence"),
+        F.arrays_zip(F.split(text, recognizer.regex, -1).alias("gap"), hits.alias("hit"), kept.alias("kept")).alias("parts"))
+    present = text.rlike(recognizer.regex)
+    return F.when(text.contains(recognizer.needs) & present if recognizer.needs else present, found)
 
-def match_spans(text: Column, recognizer: P.Recognizer) -> Column:
-    """``array<span>`` of all matches of one recognizer.
 
-    Matches alternate with the pieces between them, so a running sum of both lengths is each match's start.
-    """
-    regex = F.lit(recognizer.regex)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.arrays_zip(
-        F.split(text, recognizer.regex, -1).alias("gap"), matches.alias("hit"),
-        (F.regexp_extract_all(text, regex, F.lit(1)) if recognizer.tail_group else matches).alias("kept"))
+def _located(piece: Column) -> Column:
+    """Spans of one recognizer's pieces: gaps and matches alternate, so a running sum of both places each match."""
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["pos"] + F.length(part["gap"]) + F.length(part["hit"])
-        found = F.array(_span(recognizer.entity_type, end - F.length(part["kept"]), end, recognizer.confidence))
+        span = F.struct(
+            piece["kind"].alias("entity_type"), (end - F.length(part["kept"])).alias("span_start"),
+            end.alias("span_end"), piece["confidence"].alias("confidence"))
         return F.struct(
             end.alias("pos"),
-            F.when(part["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
+            F.when(part["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    return F.aggregate(piece["parts"], F.struct(F.lit(0).alias("pos"), _no_spans().alias("out")), step,
+                       lambda acc: acc["out"])
+
 
-    start = F.struct(F.lit(0).alias("pos"), _no_spans().alias("out"))
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    present = text.contains(recognizer.needs) if recognizer.needs else F.lit(True)
-    return F.when(present & text.rlike(recognizer.regex), spans).otherwise(_no_spans())
+def match_spans(text: Column, *recognizers: P.Recognizer) -> Column:
+    """``array<span>`` of all matches of the recognizers, in their order."""
+    pieces = F.array(*(_pieces(text, r) for r in recognizers))
+    spans = F.transform(F.filter(pieces, lambda p: p.isNotNull()), _located)
+    return F.coalesce(F.flatten(spans), _no_spans()).cast(SPANS)
 
 
 def detect_entities(
@@ -53,12 +58,12 @@ def detect_entities(
     out: str = "spans",
 ) -> DataFrame:
     """Append the raw spans of all recognizers, in registry order."""
-    return df.withColumn(out, F.concat(*(match_spans(F.col(text), r) for r in recognizers)))
+    return df.withColumn(out, match_spans(F.col(text), *recognizers))
 
 
 def detect_ids(df: DataFrame, text: str = "text", out: str = "id_spans") -> DataFrame:
     """Service ids and enrolment numbers, with the matched value."""
-    spans = F.concat(*(match_spans(F.col(text), r) for r in P.ID_RECOGNIZERS))
+    spans = match_spans(F.col(text), *P.ID_RECOGNIZERS)
     return df.withColumn(out, F.transform(spans, lambda s: s.withField(
         "value", F.substring(F.col(text), s["span_start"] + 1, s["span_end"] - s["span_start"]))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casemesh import constants as K
 from casemesh.functions import patterns as P
-from casemesh.functions.text import quality_reason, quality_verdict, strip_class, strip_space, text_stats
+from casemesh.functions.text import bind, quality_reason, quality_verdict, strip_class, strip_space, text_stats
 from casemesh.operators import detect
 from casemesh.operators.detect import SPANS
 
@@ -20,9 +20,8 @@ def _cut(text: Column, start: Column, end: Column) -> Column:
 
 def protected_ranges(text: Column) -> Column:
     """Statute citations and form captions, as ``array<span>``; these are never masked."""
-    return F.concat(
-        detect.match_spans(text, P.Recognizer("CITATION", P.STATUTE_CITATION, 0)),
-        detect.match_spans(text, P.Recognizer("CAPTION", P.FORM_CAPTION, 0)))
+    return detect.match_spans(text, P.Recognizer("CITATION", P.STATUTE_CITATION, 0),
+                              P.Recognizer("CAPTION", P.FORM_CAPTION, 0))
 
 
 def trim_spans(spans: Column, ranges: Column, text: Column) -> Column:
@@ -55,25 +54,30 @@ def trim_spans(spans: Column, ranges: Column, text: Column) -> Column:
 
 def score_of(entity: Column, start: Column, end: Column, confidence: Column, text: Column) -> Column:
     """Confidence adjusted by what the matched text looks like; identifiers keep their own."""
-    fragment = strip_space(_cut(text, start, end))
-    bare = F.transform(F.split(fragment, f"{P.SPACE}+"), lambda w: strip_class(w, P.WORD_TRIM))
-    words = F.filter(bare, lambda w: (F.length(w) >= 2) & w.rlike(r"\p{L}"))
-    before = _cut(text, F.greatest(F.lit(0), start - 24), start)
 
     def worth(condition: Column, points: int) -> Column:
         return F.when(condition, points).otherwise(0)
 
-    score = (
-        confidence
-        + worth(fragment.rlike(r"\p{L}") & ~fragment.rlike(rf"[\p{{L}}&&[^{P.DEVANAGARI}]]"), P.SCORE_DEVANAGARI)
-        + worth(F.exists(words, lambda w: w.rlike(r"^\p{ASCII}+$") & ~w.rlike("[aeiouAEIOU]")), P.SCORE_NO_VOWEL)
-        + worth(F.exists(words, lambda w: w.rlike(P.CONSONANT_RUN)), P.SCORE_CONSONANTS)
-        + worth(fragment.rlike(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), P.SCORE_DIGIT)
-        + worth(F.length(fragment) < 4, P.SCORE_SHORT)
-        + worth((entity == "PERSON") & before.rlike(P.HONORIFIC_BEFORE), P.SCORE_HONORIFIC)
-        + worth(fragment.contains(" ") & (F.length(fragment) > 7), P.SCORE_MULTIWORD))
-    bounded = F.greatest(F.lit(P.SCORE_MIN), F.least(F.lit(P.SCORE_MAX), score))
-    return F.when(entity.isin(*P.SCORED_TYPES), bounded).otherwise(confidence).cast("int")
+    def adjusted(fragment: Column, words: Column) -> Column:
+        before = _cut(text, F.greatest(F.lit(0), start - 24), start)
+        score = (
+            confidence
+            + worth(fragment.rlike(r"\p{L}") & ~fragment.rlike(rf"[\p{{L}}&&[^{P.DEVANAGARI}]]"), P.SCORE_DEVANAGARI)
+            + worth(F.exists(words, lambda w: w.rlike(r"^\p{ASCII}+$") & ~w.rlike("[aeiouAEIOU]")), P.SCORE_NO_VOWEL)
+            + worth(F.exists(words, lambda w: w.rlike(P.CONSONANT_RUN)), P.SCORE_CONSONANTS)
+            + worth(fragment.rlike(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), P.SCORE_DIGIT)
+            + worth(F.length(fragment) < 4, P.SCORE_SHORT)
+            + worth((entity == "PERSON") & before.rlike(P.HONORIFIC_BEFORE), P.SCORE_HONORIFIC)
+            + worth(fragment.contains(" ") & (F.length(fragment) > 7), P.SCORE_MULTIWORD))
+        return F.greatest(F.lit(P.SCORE_MIN), F.least(F.lit(P.SCORE_MAX), score))
+
+    def of(fragment: Column) -> Column:
+        bare = F.transform(F.split(fragment, f"{P.SPACE}+"), lambda w: strip_class(w, P.WORD_TRIM))
+        words = F.filter(bare, lambda w: (F.length(w) >= 2) & w.rlike(r"\p{L}"))
+        return bind(words, lambda w: adjusted(fragment, w))
+
+    scored = bind(strip_space(_cut(text, start, end)), of)
+    return F.when(entity.isin(*P.SCORED_TYPES), scored).otherwise(confidence).cast("int")
 
 
 def score_spans(spans: Column, text: Column) -> Column:

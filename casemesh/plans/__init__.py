@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("listing_queries", "access_queries", "span_queries", "integrity_queries", "lifecycle_queries", "layout_queries", "stream_queries")
+MODULES = ("listing_queries", "access_queries", "span_queries", "integrity_queries", "lifecycle_queries", "layout_queries", "credential_queries", "stream_queries")
 
 
 def load_all() -> None:
