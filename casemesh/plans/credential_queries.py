@@ -9,6 +9,7 @@ from casemesh.operators import credentials as C
 from casemesh.operators import spans
 from casemesh.plans.models import COMPLAINANTS, pick
 from casemesh.plans.registry import query
+from casemesh.session import spread
 
 NAME = pick("c_custkey % 5", COMPLAINANTS)
 # The printed identifier agrees, differs or is missing; every tenth scan is empty.
@@ -19,7 +20,7 @@ CREDENTIAL_TEXT = (
 
 
 def _pair(m):
-    docs = m.customer.selectExpr("c_custkey AS credential_id", "c_custkey AS application_id",
+    docs = spread(m.customer).selectExpr("c_custkey AS credential_id", "c_custkey AS application_id",
                                  f"{CREDENTIAL_TEXT} AS raw_text")
     apps = m.customer.selectExpr("c_custkey AS application_id", f"{NAME} AS name",
                                  "concat('dl-pol-', 1000 + c_custkey % 9000) AS claimed_credential_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casemesh import constants as K
 from casemesh.functions import patterns as P
 from casemesh.operators import detect
+from casemesh.session import spread
 from casemesh.sources.tables import load_supplied
 
 ROLES = (
@@ -337,7 +338,7 @@ class Models:
 
     def _build_m_tags(self) -> DataFrame:
         found = detect.explode_spans(
-            detect.detect_entities(self.table("documents").select("doc_id", "text"), "text", P.PLAIN_RECOGNIZERS),
+            detect.detect_entities(spread(self.table("documents").select("doc_id", "text")), "text", P.PLAIN_RECOGNIZERS),
             "doc_id").withColumn("source", F.lit("ai_parser"))
         corrections = self.table("labels").filter("toxic = 1").select(
             "doc_id", F.lit("PERSON").alias("entity_type"), F.lit(0).alias("span_start"),

@@ -11,6 +11,7 @@ from casemesh.operators import detect, redact, spans
 from casemesh.plans.listing_queries import quoted
 from casemesh.plans.models import span_sql
 from casemesh.plans.registry import query
+from casemesh.session import spread
 
 ROLES_SHOWN = ("defense", "duty_officer", "cyber_cell", "court", "records_ncrb_analyst")
 PORTABLE = (P.AADHAAR, P.PAN, P.PAN_CONFUSED, P.PHONE_AS_PRINTED, P.EMAIL, P.MEDICAL)
@@ -18,14 +19,14 @@ PORTABLE = (P.AADHAAR, P.PAN, P.PAN_CONFUSED, P.PHONE_AS_PRINTED, P.EMAIL, P.MED
 
 @query("detected_entities", f"SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql(PORTABLE)})")
 def _(m):
-    found = detect.detect_entities(m.documents.select("doc_id", "text"), "text", PORTABLE)
+    found = detect.detect_entities(spread(m.documents.select("doc_id", "text")), "text", PORTABLE)
     return detect.explode_spans(found, "doc_id")
 
 
 @query("detected_listed_entities",
        f"SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql(P.PLAIN_RECOGNIZERS)})")
 def _(m):
-    found = detect.detect_entities(m.documents.select("doc_id", "text"), "text", P.PLAIN_RECOGNIZERS)
+    found = detect.detect_entities(spread(m.documents.select("doc_id", "text")), "text", P.PLAIN_RECOGNIZERS)
     return detect.explode_spans(found, "doc_id")
 
 
@@ -37,13 +38,13 @@ def id_text(engine: str) -> str:
 WITH documents AS (SELECT doc_id, {id_text('sql')} AS text FROM documents)
 SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql(P.ID_RECOGNIZERS)})""")
 def _(m):
-    docs = m.documents.selectExpr("doc_id", f"{id_text('spark')} AS text")
+    docs = spread(m.documents).selectExpr("doc_id", f"{id_text('spark')} AS text")
     return detect.explode_spans(detect.detect_ids(docs), "doc_id", spans="id_spans").drop("value")
 
 
 @query("protected_ranges")
 def _(m):
-    docs = m.documents.selectExpr("doc_id", "concat('P.S. No. ', doc_id, ' u/s 154 Cr.P.C., 379/411 IPC. ', text) AS text")
+    docs = spread(m.documents).selectExpr("doc_id", "concat('P.S. No. ', doc_id, ' u/s 154 Cr.P.C., 379/411 IPC. ', text) AS text")
     return detect.explode_spans(docs.select("doc_id", spans.protected_ranges(F.col("text")).alias("spans")), "doc_id")
 
 
@@ -69,19 +70,19 @@ CANDIDATES = "SELECT doc_id, entity_type, span_start, span_end, confidence, foun
 WITH cand AS ({CANDIDATES}), {RESOLVE}
 SELECT doc_id, entity_type, span_start, span_end, confidence FROM k WHERE keep""")
 def _(m):
-    found = detect.detect_entities(m.documents.select("doc_id", "text"), "text", ALL_PLAIN)
+    found = detect.detect_entities(spread(m.documents.select("doc_id", "text")), "text", ALL_PLAIN)
     kept = found.select("doc_id", spans.resolve_overlaps(F.col("spans")).alias("spans"))
     return detect.explode_spans(kept, "doc_id")
 
 
 @query("document_tags")
 def _(m):
-    return spans.tag_documents(m.m_docs)
+    return spans.tag_documents(spread(m.m_docs.select("doc_id", "raw_text")))
 
 
 @query("document_tag_status")
 def _(m):
-    return spans.tag_status(m.m_docs).withColumn("entity_types", F.array_join("entity_types", ","))
+    return spans.tag_status(spread(m.m_docs.select("doc_id", "raw_text"))).withColumn("entity_types", F.array_join("entity_types", ","))
 
 
 @query("tags_refreshed", """
@@ -108,7 +109,7 @@ WITH {STATS} SELECT *, round(alnum / non_space, 6) AS alnum_ratio, round(single_
 FROM s""")
 def _(m):
     from casemesh.operators.reports import text_statistics
-    return text_statistics(m.documents.select("doc_id", "text"), "text")
+    return text_statistics(spread(m.documents.select("doc_id", "text")), "text")
 
 
 @query("text_quality", f"""
@@ -116,7 +117,7 @@ WITH {STATS} SELECT doc_id, CASE WHEN chars < 30 OR non_space = 0 THEN 'ok'
   WHEN non_space > 40 AND alnum / non_space < 0.5 THEN 'low_alnum'
   WHEN tokens >= 10 AND single_tokens / tokens > 0.45 THEN 'fragmented' ELSE 'ok' END AS verdict FROM s""")
 def _(m):
-    return m.documents.select("doc_id", X.quality_verdict(X.text_stats(F.col("text"))).alias("verdict"))
+    return spread(m.documents.select("doc_id", "text")).select("doc_id", X.quality_verdict(X.text_stats(F.col("text"))).alias("verdict"))
 
 
 @query("text_chunks")
