@@ -108,11 +108,11 @@ def request_verdict(role: Column, user_org: Column, requested_org: Column) -> Co
 def request_access(attempts: DataFrame, requests: DataFrame, users: DataFrame) -> DataFrame:
     """Attempts ``(request_id, user_id, ...)`` with a ``verdict``."""
     who = users.select("user_id", "role", F.col("org_id").alias("_user_org"))
-    what = requests.select("request_id", "requested_org_id")
+    what = requests.select("request_id", "requested_org_id", F.lit(True).alias("_known"))
     joined = attempts.join(what, "request_id", "left").join(who, "user_id", "left")
-    verdict = F.when(F.col("requested_org_id").isNull(), "not_found").otherwise(
+    verdict = F.when(F.col("_known").isNull(), "not_found").otherwise(
         request_verdict(F.col("role"), F.col("_user_org"), F.col("requested_org_id")))
-    return joined.withColumn("verdict", verdict).drop("_user_org", "requested_org_id")
+    return joined.withColumn("verdict", verdict).drop("_user_org", "requested_org_id", "_known")
 
 
 def with_requester(requests: DataFrame, users: DataFrame) -> DataFrame:

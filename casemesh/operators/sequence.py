@@ -33,7 +33,8 @@ def _carry(last: DataFrame, keys: list[str], bits: int) -> DataFrame:
     wide = last.withColumn("_wide", _range_of("_range", bits))
     within = Window.partitionBy(*keys, "_wide").orderBy("_range")
     tops = wide.groupBy(*keys, "_wide").agg(F.max_by("_last", "_range").alias("_top"))
-    across = Window.partitionBy(*keys, _range_of("_wide", 2 * bits)).orderBy("_wide")
+    # One row per 2**(2 * bits) values is left here; the sign bit stands in for "no further key".
+    across = Window.partitionBy(*keys, _range_of("_wide", 63)).orderBy("_wide")
     tops = tops.withColumn("_top", F.lag("_top").over(across))
     near = wide.withColumn("_near", F.lag("_last").over(within))
     joined = join_null_safe(near, tops, [*keys, "_wide"])
