@@ -191,9 +191,12 @@ def keys_with_owner(keys: DataFrame, users: DataFrame) -> DataFrame:
 def applications_with_documents(apps: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per application and credential document, in upload order; applications without any keep one row.
 
-    Kept flat: an application with very many documents is not gathered into one array.
+    Kept flat: an application with very many documents is not gathered into one array. An inner join and the
+    rest apart, because a skewed side can be split in an inner join only.
     """
     files = docs.select("application_id", "credential_id", F.col("doc_type").alias("document_type"),
                         F.col("created_at").alias("document_created_at"))
-    return apps.join(files, "application_id", "left").orderBy(
+    without = apps.join(files.select("application_id").distinct(), "application_id", "left_anti")
+    both = apps.join(files, "application_id").unionByName(without, allowMissingColumns=True)
+    return both.orderBy(
         F.col("created_at").desc(), "application_id", "document_created_at", "credential_id")

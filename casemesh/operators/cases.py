@@ -14,9 +14,10 @@ def missing_requirements(cases: DataFrame, requirements: DataFrame, docs: DataFr
     """``(case_id, requirement_type, requirement_key, item)`` for every mandatory item a case lacks."""
     needed = cases.select("case_id", "crime_type").join(
         requirements.filter("mandatory").select("crime_type", "requirement_type", "requirement_key"), "crime_type")
-    present_docs = docs.select("case_id", F.col("doc_type").alias("requirement_key"))
+    # Distinct before the join: what a case has many times over is one row by the time it is shuffled.
+    present_docs = docs.select("case_id", F.col("doc_type").alias("requirement_key")).distinct()
     done = requests.filter(F.col("status") == "completed").select(
-        "case_id", F.col("doc_type_expected").alias("requirement_key"))
+        "case_id", F.col("doc_type_expected").alias("requirement_key")).distinct()
 
     def lacking(kind: str, present: DataFrame, label: str) -> DataFrame:
         gap = needed.filter(F.col("requirement_type") == kind).join(

@@ -49,7 +49,7 @@ def versions(docs: DataFrame) -> DataFrame:
 
 def retag_candidates(entries: DataFrame, tags: DataFrame, key: str = "entry_id") -> DataFrame:
     """Ready entries without any automatic span, put back to ``processing``."""
-    have = tags.filter(F.col("source") == "ai_parser").select(key)
+    have = tags.filter(F.col("source") == "ai_parser").select(key).distinct()
     return entries.filter(F.col("status") == "ready").join(have, key, "left_anti").withColumn(
         "status", F.lit("processing"))
 
@@ -111,12 +111,12 @@ def map_fields(tags: DataFrame, docs: DataFrame, mappings: DataFrame, schemas: D
 
 def conflicts(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows whose key is taken."""
-    return new.join(existing.select(*keys), list(keys), "left_semi")
+    return new.join(existing.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def accepted(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows whose key is free."""
-    return new.join(existing.select(*keys), list(keys), "left_anti")
+    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def route(mime: Column) -> Column:

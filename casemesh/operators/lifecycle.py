@@ -19,6 +19,7 @@ from casemesh.operators.documents import assign_versions
 from casemesh.operators.listing import first_reason
 from casemesh.operators.access import request_verdict
 from casemesh.operators.sequence import previous_row
+from casemesh.session import cut_lineage
 from casemesh.sources.tables import object_key
 
 
@@ -105,10 +106,10 @@ def reassign(requests: DataFrame, cases: DataFrame, users: DataFrame, assignment
     joined = (
         requests.join(cases.select("case_id", F.col("investigation_status").alias("_stage")), "case_id", "left")
         .join(officers, "new_io_user_id", "left").join(held, "case_id", "left"))
-    checked = joined.withColumn("_static", first_reason(
+    checked = cut_lineage(joined.withColumn("_static", first_reason(
         (F.col("_stage").isNull(), "case_not_found"), (F.col("_stage").isin(*K.CONCLUDED_STAGES), "case_concluded"),
         (F.col("_role").isNull(), "user_not_found"), (F.col("_role") != "io", "not_an_io"),
-        (F.col("_held").isNull(), "no_current_assignment")))
+        (F.col("_held").isNull(), "no_current_assignment"))))
     # After any well-formed request the case is with the officer it names, swapped or not.
     formed = previous_row(checked.filter("_static IS NULL"), "seq", ["new_io_user_id"], ["case_id"])
     swapped = formed.withColumn("previous_io_user_id", F.coalesce("previous_new_io_user_id", "_held")).withColumn(
@@ -189,10 +190,10 @@ def fulfil(submissions: DataFrame, requests: DataFrame, users: DataFrame, docs:
         (F.col("case_id").isNull(), "request_not_found"), (verdict == "different_organization", "different_organization"),
         (verdict == "role_not_permitted", "role_not_permitted"), (F.col("_status") == "completed", "already_fulfilled")))
     first = checked.filter("_static IS NULL").groupBy("request_id").agg(F.min("seq").alias("_first"))
-    decided = checked.join(first, "request_id", "left").withColumn("reason", F.coalesce(
+    decided = cut_lineage(checked.join(first, "request_id", "left").withColumn("reason", F.coalesce(
         "_static", F.when(F.col("seq") > F.col("_first"), "already_fulfilled"))).select(
         *submissions.columns, "case_id", "requested_org_id",
-        F.coalesce("doc_type_expected", F.lit("Evidence")).alias("doc_type"), "reason")
+        F.coalesce("doc_type_expected", F.lit("Evidence")).alias("doc_type"), "reason"))
     good = decided.filter("reason IS NULL")
     numbered = assign_versions(good, docs, "seq")
     rows = numbered.select(
@@ -321,9 +322,9 @@ def apply_roles(changes: DataFrame, users: DataFrame, roles: DataFrame) -> Outco
     """
     people = users.select("user_id", F.col("role").alias("_role"), F.lit(True).alias("_user"))
     codes = roles.groupBy(F.col("code").alias("role_code")).agg(F.min("role_id").alias("_rid"))
-    checked = changes.join(people, "user_id", "left").join(codes, "role_code", "left").withColumn(
+    checked = cut_lineage(changes.join(people, "user_id", "left").join(codes, "role_code", "left").withColumn(
         "_static", first_reason((F.col("_user").isNull(), "user_not_found"),
-                                (F.col("role_code").isNotNull() & F.col("_rid").isNull(), "role_not_found")))
+                                (F.col("role_code").isNotNull() & F.col("_rid").isNull(), "role_not_found"))))
     good = checked.filter("_static IS NULL").withColumn("new_role", F.coalesce("role_code", F.lit("unassigned")))
     traced = previous_row(good, "seq", ["new_role"], ["user_id"]).withColumn(
         "previous_role", F.coalesce("previous_new_role", "_role"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casemesh import constants as K
 from casemesh.operators.ordered import ordered_scan
+from casemesh.session import cut_lineage
 
 STRETCH_BITS = 20
 
@@ -92,4 +93,4 @@ def gate_events(events: DataFrame, gate: DataFrame) -> DataFrame:
 
 def apply_case(events: DataFrame, initial: DataFrame, gate: DataFrame, **options) -> DataFrame:
     """Investigation track: ``file_charge_sheet`` (gate met), ``trial_hearing``, ``judgment``."""
-    return apply_moves(gate_events(events, gate), K.CASE_MOVES, K.CASE_STATES, initial, blocked="blocked", **options)
+    return apply_moves(cut_lineage(gate_events(events, gate)), K.CASE_MOVES, K.CASE_STATES, initial, blocked="blocked", **options)

@@ -39,14 +39,18 @@ def _rule_maps(policies: DataFrame) -> DataFrame:
 
 
 def with_rules(df: DataFrame, policies: DataFrame) -> DataFrame:
-    """Append ``_rules``: the rule maps for (role, type), (role, *), (*, type), (*, *), in that order."""
+    """Append ``_rules``: the rule maps for (role, type), (role, *), (*, type), (*, *), in that order.
+
+    The first three are equi joins; the last is at most one row of the policy table, read as a scalar.
+    """
     maps = _rule_maps(policies)
-    for i, (role_wild, type_wild) in enumerate(((False, False), (False, True), (True, False), (True, True))):
-        side = maps.select(F.col("role").alias("_pr"), F.col("doc_type").alias("_pd"), F.col("rules").alias(f"_m{i}"))
-        df = df.join(side, [
-            (F.lit("*") if role_wild else F.col("role")) == F.col("_pr"),
-            (F.lit("*") if type_wild else F.col("doc_type")) == F.col("_pd")], "left").drop("_pr", "_pd")
-    return df.withColumn("_rules", F.array("_m0", "_m1", "_m2", "_m3")).drop("_m0", "_m1", "_m2", "_m3")
+    any_role, any_type = F.col("role") == "*", F.col("doc_type") == "*"
+    by_both = maps.select("role", "doc_type", F.col("rules").alias("_m0"))
+    by_role = maps.filter(any_type).select("role", F.col("rules").alias("_m1"))
+    by_type = maps.filter(any_role).select("doc_type", F.col("rules").alias("_m2"))
+    general = maps.filter(any_role & any_type).agg(F.first("rules").alias("_m3")).scalar()
+    joined = df.join(by_both, ["role", "doc_type"], "left").join(by_role, "role", "left").join(by_type, "doc_type", "left")
+    return joined.select(*df.columns, F.array("_m0", "_m1", "_m2", general).alias("_rules"))
 
 
 def decide(rules: Column, entity: Column, confidence: Column) -> Column:

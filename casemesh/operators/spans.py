@@ -152,4 +152,4 @@ def refresh_tags(old: DataFrame, new: DataFrame, retagged: DataFrame | None = No
     kept = old.filter(~automatic).unionByName(new)
     if retagged is None:
         return kept
-    return kept.unionByName(old.filter(automatic).join(retagged.select(key), key, "left_anti"))
+    return kept.unionByName(old.filter(automatic).join(retagged.select(key).distinct(), key, "left_anti"))

@@ -232,6 +232,13 @@ def _typed(m):
                             B.sniff_mime(F.col("content"), F.col("declared")).alias("mime"))
 
 
+@query("blob_inventory")
+def _(m):
+    files = B.scan_blobs(m.spark, m.sf_dir, "*.parquet")
+    kind = B.sniff_mime(F.col("content"), F.lit(""))
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "size", kind.alias("mime"))
+
+
 @query("blob_types", f"WITH {KIND} SELECT page_id, octet_length(encode(body)) AS size, mime FROM kinds")
 def _(m):
     return _typed(m).drop("content")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casemesh import constants as K
@@ -30,6 +33,23 @@ def _(m):
     return detect.explode_spans(found, "doc_id")
 
 
+@query("detector_slot", f"""
+SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql((P.US_PHONE, P.IP_ADDRESS))})""")
+def _(m):
+    """A detector of the user's own, here a plain pattern, merged with a registry row."""
+    rx = re.compile(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}")
+
+    @F.pandas_udf(detect.SPANS)
+    def own(texts: pd.Series) -> pd.Series:
+        def found(text: str) -> list[dict]:
+            return [{"entity_type": "PHONE_NUMBER", "span_start": hit.start(), "span_end": hit.end(), "confidence": 75}
+                    for hit in rx.finditer(text)]
+        return texts.map(found)
+
+    listed = detect.detect_entities(spread(m.documents.select("doc_id", "text")), "text", [P.IP_ADDRESS])
+    return detect.explode_spans(detect.with_detector(listed, own), "doc_id")
+
+
 def id_text(engine: str) -> str:
     return "concat('Ref DL-POL-', n_chars, ' bar D/', n_chars % 1000, '/20', 10 + doc_id % 90, ' ', text)"
 
