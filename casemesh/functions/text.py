@@ -74,14 +74,12 @@ def quality_verdict(stats: Column) -> Column:
 def quality_reason(stats: Column) -> Column:
     """The sentence recorded with a failed quality check; null when the text passes."""
     verdict = quality_verdict(stats)
-    share = lambda part, whole: F.format_string("%.1f%%", part * 100.0 / whole)
-    return (
-        F.when(verdict == "low_alnum", F.concat(
-            F.lit("Low alphanumeric ratio ("), share(stats["alnum"], stats["non_space"]),
-            F.lit("): severe OCR noise")))
-        .when(verdict == "fragmented", F.concat(
-            F.lit("Excessive character fragmentation ("), share(stats["single_tokens"], stats["tokens"]),
-            F.lit("): degraded scan"))))
+
+    def told(frame: tuple[str, str], part: Column, whole: Column) -> Column:
+        return F.concat(F.lit(frame[0]), F.format_string("%.1f%%", part * 100.0 / whole), F.lit(frame[1]))
+
+    return (F.when(verdict == "low_alnum", told(K.LOW_ALNUM_REASON, stats["alnum"], stats["non_space"]))
+            .when(verdict == "fragmented", told(K.FRAGMENTED_REASON, stats["single_tokens"], stats["tokens"])))
 
 
 # --- scripts ---------------------------------------------------------------------------------

@@ -83,13 +83,16 @@ def applicable_spans(spans: Column, text: Column) -> Column:
 def mask_text(text: Column, spans: Column, rules: Column | None = None) -> Column:
     """``text`` with every applicable span masked, shown or flagged; without rules all are masked."""
 
+    def framed(frame: tuple[str, str], name: Column) -> Column:
+        return F.concat(F.lit(frame[0]), name, F.lit(frame[1]))
+
     def piece(acc: Column, s: Column) -> Column:
         original = F.substring(text, s["at"] + 1, s["to"] - s["at"])
         action = F.lit("mask") if rules is None else decide(rules, s["entity_type"], s["confidence"])
         shown = (
             F.when(action == "show", original)
-            .when(action == "flag", F.concat(original, F.lit(" [UNCONFIRMED:"), s["entity_type"], F.lit("]")))
-            .otherwise(F.concat(F.lit("[REDACTED:"), s["entity_type"], F.lit("]"))))
+            .when(action == "flag", F.concat(original, framed(K.UNCONFIRMED, s["entity_type"])))
+            .otherwise(framed(K.MASKED, s["entity_type"])))
         gap = F.substring(text, acc["cursor"] + 1, s["at"] - acc["cursor"])
         return F.struct(s["to"].alias("cursor"), F.concat(acc["out"], F.array(gap, shown)).alias("out"))
 

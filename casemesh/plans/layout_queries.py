@@ -234,9 +234,9 @@ def _typed(m):
 
 @query("blob_inventory")
 def _(m):
+    """Names and sizes only; the files themselves are not read."""
     files = B.scan_blobs(m.spark, m.sf_dir, "*.parquet")
-    kind = B.sniff_mime(F.col("content"), F.lit(""))
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "size", kind.alias("mime"))
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "size")
 
 
 @query("blob_types", f"WITH {KIND} SELECT page_id, octet_length(encode(body)) AS size, mime FROM kinds")
