@@ -200,3 +200,18 @@ def applications_with_documents(apps: DataFrame, docs: DataFrame) -> DataFrame:
     both = apps.join(files, "application_id").unionByName(without, allowMissingColumns=True)
     return both.orderBy(
         F.col("created_at").desc(), "application_id", "document_created_at", "credential_id")
+
+
+def users_with_org(users: DataFrame, orgs: DataFrame, org_id=None) -> DataFrame:
+    """User summaries with the name of their organisation, of one organisation or of all."""
+    df = users if org_id is None else users.filter(F.col("org_id") == org_id)
+    names = orgs.select("org_id", F.col("name").alias("org_name"))
+    return df.join(names, "org_id", "left").select(
+        "user_id", "name", "email", "service_id", "designation", "role", "org_name")
+
+
+def roles_with_permissions(roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
+    """Each role with the sorted codes it holds."""
+    codes = role_permissions.groupBy("role_id").agg(F.array_sort(F.collect_set("code")).alias("permission_codes"))
+    return roles.join(codes, "role_id", "left").withColumn(
+        "permission_codes", F.coalesce("permission_codes", F.array().cast("array<string>")))

@@ -356,3 +356,92 @@ def onboard_orgs(new: DataFrame, orgs: DataFrame) -> Outcome:
     audit = audit_events(good, "organization_onboarded", "organization", "seq", "actor_user_id", F.col("asked_at"),
                          case_id=None, metadata=_meta(org_name=F.col("name"), org_type=F.col("org_type")))
     return Outcome(decided, good.select("seq", "name", "org_type"), audit)
+
+
+def add_diary_entries(entries: DataFrame, cases: DataFrame, users: DataFrame, grants: DataFrame) -> Outcome:
+    """Append diary entries ``(entry_id, case_id, user_id, text, written_at)``; they start in processing.
+
+    Only the case's officer and the station head write the diary; ``grants`` is the access matrix.
+    """
+    may = grants.filter(F.col("can_open") & F.col("case_id").isNotNull()).select(
+        "case_id", "user_id", F.lit(True).alias("_may"))
+    joined = (
+        entries.join(users.select("user_id", F.col("role").alias("_role")), "user_id", "left")
+        .join(_flag(cases, "case_id", "_case"), "case_id", "left").join(may, ["case_id", "user_id"], "left"))
+    open_to = F.col("_role").isin(*K.UNRESTRICTED_CASE_ROLES) | F.col("_may").isNotNull()
+    decided = joined.withColumn("reason", first_reason(
+        (~F.coalesce(F.col("_role").isin(*K.DIARY_FULL_ROLES), F.lit(False)), "role_not_permitted"),
+        (F.col("_case").isNull(), "case_not_found"), (~open_to, "no_case_access"),
+        (strip_space(F.coalesce("text", F.lit(""))) == "", "empty_text"))).select(*entries.columns, "reason")
+    good = decided.filter("reason IS NULL")
+    rows = good.select("entry_id", "case_id", F.col("user_id").alias("author_user_id"), "text",
+                       F.lit("processing").alias("status"), F.col("written_at").alias("created_at"))
+    audit = audit_events(good, "case_diary_entry_added", "case_diary_entry", "entry_id", "user_id", F.col("written_at"),
+                         metadata=_meta(length=F.length("text"), status=F.lit("processing")))
+    return Outcome(decided, rows, audit)
+
+
+def submit_applications(applications: DataFrame, orgs: DataFrame, users: DataFrame) -> Outcome:
+    """File account applications ``(application_id, name, email, claimed_role, org_id, submitted_by, submitted_at)``."""
+    taken = users.select("email").distinct().withColumn("_taken", F.lit(True))
+    joined = applications.join(_flag(orgs, "org_id", "_org"), "org_id", "left").join(taken, "email", "left")
+    decided = joined.withColumn("reason", first_reason(
+        (F.col("_org").isNull(), "organization_not_found"), (F.col("_taken").isNotNull(), "email_taken"),
+    )).select(*applications.columns, "reason")
+    good = decided.filter("reason IS NULL")
+    rows = good.drop("reason").withColumn("status", F.lit("pending_review"))
+    audit = audit_events(good, "user_application_created", "user_application", "application_id", "submitted_by",
+                         F.col("submitted_at"), case_id=None,
+                         metadata=_meta(claimed_role=F.col("claimed_role"), org_id=F.col("org_id").cast("string")))
+    return Outcome(decided, rows, audit)
+
+
+def revoke_keys(requests: DataFrame, keys: DataFrame) -> Outcome:
+    """Revoke keys ``(seq, key_id, actor_user_id, revoked_at)``; ``rows`` is the key table afterwards."""
+    held = keys.select("key_id", "key_prefix", F.col("revoked_at").alias("_was"), F.lit(True).alias("_key"))
+    first = requests.groupBy("key_id").agg(F.min("seq").alias("_first"))
+    decided = requests.join(held, "key_id", "left").join(first, "key_id").withColumn("reason", first_reason(
+        (F.col("_key").isNull(), "key_not_found"),
+        (F.col("_was").isNotNull() | (F.col("seq") > F.col("_first")), "already_revoked"),
+    )).select(*requests.columns, "key_prefix", "reason")
+    good = decided.filter("reason IS NULL")
+    ended = good.select("key_id", F.col("revoked_at").alias("_ended"))
+    rows = keys.join(ended, "key_id", "left").withColumn("revoked_at", F.coalesce("revoked_at", "_ended")).drop("_ended")
+    audit = audit_events(good, "api_key_revoked", "api_key", "key_id", "actor_user_id", F.col("revoked_at"), case_id=None,
+                         metadata=_meta(key_prefix=F.col("key_prefix")))
+    return Outcome(decided, rows.select(*keys.columns), audit)
+
+
+def create_roles(new: DataFrame, roles: DataFrame, permissions: DataFrame) -> Outcome:
+    """Create custom roles ``(seq, code, name, permission_codes, actor_user_id, asked_at)``.
+
+    The code is trimmed, lower-cased and written with underscores; permissions the system does not know are left
+    out. ``rows`` is one row per new role and granted permission (null when it has none).
+    """
+    clean = new.withColumn("code", F.replace(F.lower(strip_space(F.col("code"))), F.lit(" "), F.lit("_"))).withColumn(
+        "name", strip_space(F.col("name")))
+    held = roles.select("code").distinct().withColumn("_held", F.lit(True))
+    first = clean.groupBy("code").agg(F.min("seq").alias("_first"))
+    decided = clean.join(first, "code").join(held, "code", "left").withColumn("reason", F.when(
+        F.col("_held").isNotNull() | (F.col("seq") > F.col("_first")), "code_taken")).select(*new.columns, "reason")
+    good = decided.filter("reason IS NULL")
+    asked = good.select("seq", F.explode("permission_codes").alias("permission_code"))
+    granted = asked.join(permissions.select(F.col("code").alias("permission_code")), "permission_code", "left_semi")
+    rows = good.select("seq", "code", "name", F.lit(False).alias("is_system")).join(granted, "seq", "left")
+    audit = audit_events(good, "role_created", "role", "seq", "actor_user_id", F.col("asked_at"), case_id=None,
+                         metadata=_meta(role_code=F.col("code"), role_name=F.col("name")))
+    return Outcome(decided, rows, audit)
+
+
+def delete_roles(requests: DataFrame, roles: DataFrame) -> Outcome:
+    """Delete custom roles ``(seq, role_id, actor_user_id, asked_at)``; ``rows`` is the role table afterwards."""
+    held = roles.select("role_id", "code", "is_system")
+    first = requests.groupBy("role_id").agg(F.min("seq").alias("_first"))
+    decided = requests.join(held, "role_id", "left").join(first, "role_id").withColumn("reason", first_reason(
+        (F.col("code").isNull(), "role_not_found"), (F.col("is_system"), "system_role"),
+        (F.col("seq") > F.col("_first"), "role_not_found"))).select(*requests.columns, "code", "reason")
+    good = decided.filter("reason IS NULL")
+    rows = roles.join(good.select("role_id"), "role_id", "left_anti")
+    audit = audit_events(good, "role_deleted", "role", "role_id", "actor_user_id", F.col("asked_at"), case_id=None,
+                         metadata=_meta(role_code=F.col("code")))
+    return Outcome(decided, rows, audit)

@@ -541,3 +541,17 @@ def _(m):
 @query("crime_types", "SELECT DISTINCT crime_type FROM m_cases WHERE crime_type IS NOT NULL")
 def _(m):
     return R.crime_types(m.m_cases)
+
+
+@query("users_with_org", """
+SELECT u.user_id, u.name, u.email, u.service_id, u.designation, u.role, o.name AS org_name
+FROM m_users u LEFT JOIN m_orgs o ON o.org_id = u.org_id""")
+def _(m):
+    return A.users_with_org(m.m_users, m.m_orgs)
+
+
+@query("roles_with_permissions", """
+SELECT r.role_id, r.code, p.code AS permission_code FROM m_roles r JOIN m_role_permissions p ON p.role_id = r.role_id""")
+def _(m):
+    held = A.roles_with_permissions(m.m_roles, m.m_role_permissions)
+    return held.select("role_id", "code", F.explode("permission_codes").alias("permission_code"))

@@ -343,3 +343,67 @@ def _(m):
         "ELSE concat(' ', p_brand, ' ', p_type) END AS name", "concat(p_type, ' ') AS org_type",
         "p_partkey AS actor_user_id", "TIMESTAMP '2024-05-05 00:00:00' AS asked_at")
     return L.onboard_orgs(new, m.m_orgs).decided
+
+
+@query("diary_entries_added", f"""
+WITH {MATRIX}, r AS (SELECT conv_id * 1000 + turn AS entry_id, conv_id AS case_id, CASE role WHEN 'user' THEN conv_id * 14
+    WHEN 'assistant' THEN conv_id * 14 + 1 ELSE conv_id END AS user_id, CASE WHEN turn = 3 THEN '  ' ELSE text END AS text,
+    TIMESTAMP '2024-05-02 00:00:00' AS written_at FROM conversations)
+SELECT r.*, CASE WHEN u.role IS NULL OR u.role NOT IN ('io', 'sho') THEN 'role_not_permitted'
+  WHEN c.case_id IS NULL THEN 'case_not_found' WHEN u.role <> 'sho' AND NOT EXISTS (SELECT 1 FROM matrix x WHERE x.can_open
+    AND x.case_id = r.case_id AND x.user_id = r.user_id) THEN 'no_case_access' WHEN trim(r.text) = '' THEN 'empty_text' END AS reason
+FROM r LEFT JOIN m_users u ON u.user_id = r.user_id LEFT JOIN m_cases c ON c.case_id = r.case_id""")
+def _(m):
+    entries = m.conversations.selectExpr(
+        "conv_id * 1000 + turn AS entry_id", "conv_id AS case_id",
+        "CASE role WHEN 'user' THEN conv_id * 14 WHEN 'assistant' THEN conv_id * 14 + 1 ELSE conv_id END AS user_id",
+        "CASE WHEN turn = 3 THEN '  ' ELSE text END AS text", "TIMESTAMP '2024-05-02 00:00:00' AS written_at")
+    return L.add_diary_entries(entries, m.m_cases, m.m_users, _matrix(m)).decided
+
+
+@query("applications_submitted", """
+SELECT a.*, CASE WHEN o.org_id IS NULL THEN 'organization_not_found' WHEN u.email IS NOT NULL THEN 'email_taken' END AS reason
+FROM (SELECT application_id, name, email, claimed_role, org_id * 7 AS org_id, application_id AS submitted_by,
+    created_at AS submitted_at FROM m_apps) a
+LEFT JOIN m_orgs o ON o.org_id = a.org_id LEFT JOIN (SELECT DISTINCT email FROM m_users) u ON u.email = a.email""")
+def _(m):
+    apps = m.m_apps.selectExpr("application_id", "name", "email", "claimed_role", "org_id * 7 AS org_id",
+                               "application_id AS submitted_by", "created_at AS submitted_at")
+    return L.submit_applications(apps, m.m_orgs, m.m_users).decided
+
+
+@query("keys_revoked", """
+WITH r AS (SELECT event_id AS seq, user_id * 11 AS key_id, user_id AS actor_user_id, ts AS revoked_at FROM events)
+SELECT r.*, k.key_prefix, CASE WHEN k.key_id IS NULL THEN 'key_not_found' WHEN k.revoked_at IS NOT NULL
+  OR row_number() OVER (PARTITION BY r.key_id ORDER BY seq) > 1 THEN 'already_revoked' END AS reason
+FROM r LEFT JOIN m_keys k ON k.key_id = r.key_id""")
+def _(m):
+    asked = m.events.selectExpr("event_id AS seq", "user_id * 11 AS key_id", "user_id AS actor_user_id", "ts AS revoked_at")
+    return L.revoke_keys(asked, m.m_keys).decided
+
+
+ROLE_ROWS = ("p_partkey AS seq", "concat(' ', p_brand, ' ', p_type) AS code", "concat(p_name, ' ') AS name",
+             "p_partkey AS actor_user_id", "TIMESTAMP '2024-05-06 00:00:00' AS asked_at")
+
+
+@query("roles_created", """
+WITH n AS (SELECT p_partkey AS seq, replace(lower(concat(p_brand, ' ', p_type)), ' ', '_') AS code, p_name AS name,
+    lower(concat(p_type, ':', p_brand)) AS wanted FROM part),
+ f AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS rn FROM n)
+SELECT f.seq, f.code, f.name, false AS is_system, p.code AS permission_code FROM f
+LEFT JOIN m_permissions p ON p.code = f.wanted
+WHERE rn = 1 AND f.code NOT IN (SELECT code FROM m_roles)""")
+def _(m):
+    wanted = F.array(F.lower(F.concat("p_type", F.lit(":"), "p_brand")), F.lit("unknown:permission"))
+    new = m.part.withColumn("permission_codes", wanted).selectExpr(*ROLE_ROWS, "permission_codes")
+    return L.create_roles(new, m.m_roles, m.m_permissions).rows
+
+
+@query("roles_deleted", """
+WITH r AS (SELECT event_id AS seq, user_id % 20 AS role_id, user_id AS actor_user_id, ts AS asked_at FROM events)
+SELECT r.*, k.code, CASE WHEN k.code IS NULL THEN 'role_not_found' WHEN r.role_id < 5 THEN 'system_role'
+  WHEN row_number() OVER (PARTITION BY r.role_id ORDER BY seq) > 1 THEN 'role_not_found' END AS reason
+FROM r LEFT JOIN m_roles k ON k.role_id = r.role_id""")
+def _(m):
+    asked = m.events.selectExpr("event_id AS seq", "user_id % 20 AS role_id", "user_id AS actor_user_id", "ts AS asked_at")
+    return L.delete_roles(asked, m.m_roles.withColumn("is_system", F.col("role_id") < 5)).decided
