@@ -54,9 +54,8 @@ def match_pathway(crime_type: Column, pathways=K.BAIL_PATHWAYS) -> Column:
     asked = F.lower(crime_type)
 
     def row(name: Column, entry) -> Column:
-        return F.struct(name.alias("crime_type"), F.lit(entry[1]).alias("bailable_status"),
-                        F.lit(entry[2]).alias("jurisdiction_court"),
-                        F.array(*(F.lit(step) for step in entry[3])).alias("statutory_pathway"))
+        values = (F.array(*(F.lit(x) for x in v)) if isinstance(v, tuple) else F.lit(v) for v in entry[1:])
+        return F.struct(name.alias("crime_type"), *(v.alias(f) for v, f in zip(values, K.PATHWAY_FIELDS[1:])))
 
     chosen = row(crime_type, pathways[-1])
     for entry in reversed(pathways):

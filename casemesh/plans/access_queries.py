@@ -226,9 +226,13 @@ def _(m):
     return C.charge_sheet_ready(*_gate(m)).withColumn("missing_items", F.array_join("missing_items", "; "))
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 PATHWAY_VALUES = "(VALUES " + ", ".join(
-    f"({i}, '{p[0]}', '{p[1]}', '{p[2]}', {len(p[3])})" for i, p in enumerate(K.BAIL_PATHWAYS)) \
-    + ") AS t(pos, name, bailable_status, court, steps)"
+    f"({i}, {', '.join(str(len(v)) if isinstance(v, tuple) else _quote(v) for v in p)})"
+    for i, p in enumerate(K.BAIL_PATHWAYS)) + ") AS t(pos, name, bailable_status, statute, court, sections, steps, terms)"
 
 
 @query("case_pathways", f"""
@@ -238,12 +242,14 @@ WITH hits AS (SELECT c.case_id, t.*, row_number() OVER (PARTITION BY c.case_id O
  d AS (SELECT * FROM {PATHWAY_VALUES} WHERE pos = {len(K.BAIL_PATHWAYS) - 1})
 SELECT c.case_id, c.case_number, c.bail_status AS current_bail_status, coalesce(h.name, c.crime_type) AS crime_type,
   coalesce(h.bailable_status, d.bailable_status) AS bailable_status, coalesce(h.court, d.court) AS jurisdiction_court,
-  coalesce(h.steps, d.steps) AS steps
+  coalesce(h.steps, d.steps) AS steps, coalesce(h.statute, d.statute) AS primary_statute,
+  coalesce(h.sections, d.sections) AS applicable_sections, coalesce(h.terms, d.terms) AS special_conditions
 FROM m_cases c LEFT JOIN hits h ON h.case_id = c.case_id AND h.rn = 1, d""")
 def _(m):
     p = C.case_pathways(m.m_cases)
     return p.select("case_id", "case_number", "current_bail_status", "pathway.crime_type", "pathway.bailable_status",
-                    "pathway.jurisdiction_court", F.size("pathway.statutory_pathway").alias("steps"))
+                    "pathway.jurisdiction_court", "pathway.primary_statute", "pathway.applicable_sections",
+                    "pathway.special_conditions", F.size("pathway.statutory_pathway").alias("steps"))
 
 
 @query("owner_backfill", """
