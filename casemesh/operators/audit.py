@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from casemesh.operators.ordered import ordered_scan
 from casemesh.operators.sequence import number_rows, previous_row
+from casemesh.session import cut_lineage
 
 FIELDS = ("action", "actor_user_id", "case_id", "created_at", "metadata", "target_id", "target_type")
 SEAL_BITS = 16
@@ -130,11 +131,15 @@ def chain_intact(links: DataFrame) -> DataFrame:
 
 
 def case_chain(links: DataFrame) -> DataFrame:
-    """Per case: the verdict over the whole log, its number of entries and its latest hash (null when broken)."""
-    verdict = links.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("v")).scalar()
-    per_case = links.filter(F.col("case_id").isNotNull()).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("total_entries"), F.max_by("row_hash", "seq").alias("_latest"))
-    judged = per_case.withColumn("chain_intact", verdict)
+    """Per case: the verdict over the whole log, its number of entries and its latest hash (null when broken).
+
+    The links are checked once, into one stored row per case; the verdict is read off those rows.
+    """
+    per_case = cut_lineage(links.groupBy("case_id").agg(
+        F.bool_and("ok").alias("_ok"), F.count(F.lit(1)).alias("total_entries"),
+        F.max_by("row_hash", "seq").alias("_latest")))
+    verdict = per_case.agg(F.coalesce(F.bool_and("_ok"), F.lit(True)).alias("v")).scalar()
+    judged = per_case.filter(F.col("case_id").isNotNull()).withColumn("chain_intact", verdict)
     return judged.select("case_id", "chain_intact", "total_entries",
                          F.when(F.col("chain_intact"), F.col("_latest")).alias("latest_hash"))
 

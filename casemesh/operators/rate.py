@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casemesh.operators.ordered import ordered_scan
 from casemesh.operators.sequence import RANGE_BITS, join_null_safe, previous_row
+from casemesh.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
 
@@ -37,7 +38,7 @@ def _quiet_segments(events: DataFrame, key: str, seconds: int, ts: str, order: s
     """
     near = previous_row(events.withColumn("_t", F.unix_micros(ts)), order, ["_t"], [key])
     fresh = F.col("previous__t").isNull() | (F.col("_t") - F.col("previous__t") >= seconds * 1_000_000)
-    marked = near.withColumn("_mark", F.when(fresh, F.col(order))).withColumn(
+    marked = cut_lineage(near.withColumn("_mark", F.when(fresh, F.col(order)))).withColumn(
         "_range", F.shiftright(F.col(order).cast("long"), RANGE_BITS))
     upto = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = marked.withColumn("_local", F.last("_mark", ignorenulls=True).over(upto))
@@ -55,9 +56,10 @@ def rate_verdicts(events: DataFrame, key: str, limit: int, seconds: int, ts: str
     With ``clears``, an allowed event for which that column is true is not counted and forgets the key's
     history (a successful sign-in). State per segment is the times of at most ``limit`` events.
     """
-    slim = _quiet_segments(events, key, seconds, ts, order).select(
+    needed = events.select(key, order, ts, (F.col(clears) if clears else F.lit(False)).alias("_wipe"))
+    slim = _quiet_segments(needed, key, seconds, ts, order).select(
         F.col(key).alias("k"), F.col("_segment").alias("segment"), F.col(order).cast("long").alias("o"),
-        F.col("_t").alias("t"), (F.col(clears) if clears else F.lit(False)).alias("wipe"))
+        F.col("_t").alias("t"), F.col("_wipe").alias("wipe"))
     window = seconds * 1_000_000
 
     def step(seen: deque, row):

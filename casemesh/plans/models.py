@@ -295,6 +295,7 @@ class Models:
     """Lazy access to supplied tables and model tables of one scale folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # stored times are UTC; days and ISO texts are cut there
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

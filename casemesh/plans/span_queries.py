@@ -68,6 +68,18 @@ def _(m):
     return detect.explode_spans(docs.select("doc_id", spans.protected_ranges(F.col("text")).alias("spans")), "doc_id")
 
 
+CITED = "concat('P.S. No. ', doc_id, ' u/s ', 100 + n_chars % 300, ' Cr.P.C., 379/411 IPC and 303(2) BNS. ', text)"
+CITATION = P.Recognizer("CITATION", P.STATUTE_CITATION, 0)
+
+
+@query("statute_citations", f"""
+WITH documents AS (SELECT doc_id, {CITED} AS text FROM documents)
+SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql((CITATION,))})""")
+def _(m):
+    docs = spread(m.documents).selectExpr("doc_id", f"{CITED} AS text")
+    return detect.explode_spans(detect.detect_entities(docs, "text", [CITATION]), "doc_id")
+
+
 # Greedy choice by (confidence, length, start, order found), one candidate per step and document.
 RESOLVE = """
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, span_end - span_start DESC,
@@ -140,7 +152,18 @@ def _(m):
     return spread(m.documents.select("doc_id", "text")).select("doc_id", X.quality_verdict(X.text_stats(F.col("text"))).alias("verdict"))
 
 
-@query("text_chunks")
+@query("text_chunks", """
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT) AS "offset", CAST(NULL AS VARCHAR) AS chunk, CAST(0 AS BIGINT) AS next FROM documents
+  UNION ALL
+  SELECT doc_id, text, next, substring(win, 1, keep), next + keep FROM (
+    SELECT doc_id, text, next, win, CASE WHEN next + 1000 >= length(text) THEN length(win)
+        WHEN line > 1 THEN line WHEN word > 1 THEN word ELSE length(win) END AS keep
+    FROM (SELECT doc_id, text, next, win, CASE WHEN contains(win, chr(10)) THEN length(win) - instr(reverse(win), chr(10)) + 1
+            ELSE 0 END AS line, CASE WHEN contains(win, ' ') THEN length(win) - instr(reverse(win), ' ') + 1 ELSE 0 END AS word
+          FROM (SELECT doc_id, text, next, substring(text, next + 1, 1000) AS win FROM c WHERE next < length(text)))))
+SELECT doc_id, CAST("offset" AS INT) AS "offset", CAST(length(chunk) AS INT) AS chars, sha256(chunk) AS hash
+FROM c WHERE chunk IS NOT NULL""")
 def _(m):
     pieces = m.documents.select("doc_id", F.explode(X.chunk_text(F.col("text"), 1000)).alias("p"))
     return pieces.select("doc_id", "p.offset", F.length("p.chunk").alias("chars"), F.sha2("p.chunk", 256).alias("hash"))
