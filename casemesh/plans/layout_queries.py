@@ -23,14 +23,15 @@ SELECT a.doc_id, a.page, a.box_no, (a.x2 - a.x1) * (a.y2 - a.y1) AS area,
   round({OVERLAP} / ({PAIR_AREAS} - {OVERLAP}), 6) AS iou,
   round(({OVERLAP}) / ((b.x2 - b.x1) * (b.y2 - b.y1)), 6) AS contained,
   least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0.5 * least(a.y2 - a.y1, b.y2 - b.y1) AS same_line
-FROM m_boxes a JOIN m_boxes b ON b.doc_id = a.doc_id AND b.page = a.page AND b.box_no = a.box_no + 1
-  AND a.box_no % 2 = 0 WHERE b.x2 > b.x1""")
+FROM m_boxes a JOIN m_boxes b ON b.doc_id = a.doc_id AND b.page = a.page AND b.box_no >> 1 = a.box_no >> 1
+  AND a.box_no < b.box_no WHERE b.x2 > b.x1""")
 def _(m):
     boxes = m.m_boxes
-    first = boxes.filter("box_no % 2 = 0").select(*(F.col(c).alias(f"a_{c}") for c in boxes.columns))
-    ghost = boxes.filter("x2 > x1").select(*(F.col(c).alias(f"b_{c}") for c in boxes.columns))
-    both = first.join(ghost, (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page"))
-                      & (F.col("a_box_no") + 1 == F.col("b_box_no")))
+    first = boxes.select(*(F.col(c).alias(f"a_{c}") for c in boxes.columns))
+    again = boxes.filter("x2 > x1").select(*(F.col(c).alias(f"b_{c}") for c in boxes.columns))
+    both = first.join(again, (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page"))
+                      & (F.shiftright("a_box_no", 1) == F.shiftright("b_box_no", 1))
+                      & (F.col("a_box_no") < F.col("b_box_no")))
     return both.select(
         F.col("a_doc_id").alias("doc_id"), F.col("a_page").alias("page"), F.col("a_box_no").alias("box_no"),
         G.area("a_").alias("area"), F.round(G.iou("a_", "b_"), 6).alias("iou"),
