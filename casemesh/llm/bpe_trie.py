@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from casemesh.llm.common import map_texts
-from casemesh.llm.library_ids import Encoder
+from casemesh.llm.library_ids import Encoder, encoder_of_worker
 
-#: Trie nodes and checked neighbours a task keeps before it starts afresh.
-MOST_NODES, MOST_PAIRS = 1_000_000, 2_000_000
+#: Words, trie nodes and checked neighbours a worker keeps before it starts afresh.
+MOST_WORDS, MOST_NODES, MOST_PAIRS = 500_000, 800_000, 500_000
 NEVER = 1 << 60
 
 
@@ -165,11 +165,10 @@ class WordTrie:
 class TrieEncoder(Encoder):
     """Ids of whole texts as the library gives them, all of them worked out by the trie."""
 
-    def __init__(self, text: str):
-        super().__init__(text)
+    def _prepare(self, text: str) -> None:
+        self.most = MOST_WORDS
         self.vocabulary = Vocabulary(text)
         self.trie = WordTrie(self.vocabulary)
-        self.whole = self.words = None  # the library is not asked
         kinds = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if not self.blanks_kept else \
             r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.cut = regex.compile("|".join("'" + e for e in ("s", "t", "re", "ve", "m", "ll", "d")) + "|" + kinds).findall
@@ -211,7 +210,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep: list[str] | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # one vocabulary file, about 2 MB
 
     def make():
-        encoder = TrieEncoder(shared.value)
+        encoder = encoder_of_worker(shared.value, TrieEncoder)
 
         def work(texts):
             flat, sizes = encoder.encode(texts)
@@ -226,13 +225,13 @@ class Decoder:
     """Texts of token ids, special tokens included; ids that the vocabulary lacks are left out."""
 
     def __init__(self, text: str):
-        said, v = json.loads(text), Vocabulary(text)
+        said = json.loads(text)
         self.by_bytes = (said["decoder"] or {}).get("type") == "ByteLevel"
-        self.tokens = v.tokens
+        self.tokens = {i: t for t, i in said["model"]["vocab"].items()} | {t["id"]: t["content"] for t in said["added_tokens"]}
         if self.by_bytes:
             byte_of = {c: b for b, c in enumerate(byte_letters())}
             self.raw = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
-                        for i, t in v.tokens.items()}
+                        for i, t in self.tokens.items()}
 
     def decode(self, ids: list[int] | None) -> str:
         known = self.raw if self.by_bytes else self.tokens

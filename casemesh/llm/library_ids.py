@@ -82,7 +82,6 @@ class Encoder:
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         said = json.loads(text)
         cutter = said["pre_tokenizer"]
         parts = cutter.get("pretokenizers", [{}])
@@ -95,6 +94,12 @@ class Encoder:
         self.kinds = np.array([_kind(c, self.blanks_kept) for c in range(256)], dtype=np.uint8)
         self.lower = np.array([ord(chr(c).lower()) for c in range(256)], dtype=np.uint8)
         self.marks = [t["content"] for t in said["added_tokens"]]
+        self.most = REMEMBERED
+        self._forget()
+        self._prepare(text)
+
+    def _prepare(self, text: str) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.whole = Tokenizer.from_str(text)
         self.words = Tokenizer.from_str(text)
         for t in (self.whole, self.words):
@@ -103,7 +108,6 @@ class Encoder:
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(SEPARATOR, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._forget()
 
     def _forget(self) -> None:
         self.pieces, self.numbers = _Pieces(), {}
@@ -173,7 +177,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The int32 ids of all texts, one after another, and how many each has; a null text counts as empty."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > self.most:
             self._forget()
         regular = [bool(t) and self._regular(t) for t in texts]
         flat, sizes = self._by_words([t for t, r in zip(texts, regular, strict=True) if r])
@@ -219,9 +223,9 @@ def with_ids(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, nam
     return map_texts(docs, keep or ["doc_id"], out, make)
 
 
-def encoder_of_worker(text: str) -> Encoder:
+def encoder_of_worker(text: str, kind: type[Encoder] = Encoder) -> Encoder:
     """The task's encoder; a Python worker that runs several tasks one after another keeps it, with its words."""
     held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker")).__dict__
-    if held.get("text") != text:
-        held.update(text=text, encoder=Encoder(text))
-    return held["encoder"]
+    if held.get(kind.__name__, ("",))[0] != text:
+        held[kind.__name__] = (text, kind(text))
+    return held[kind.__name__][1]
