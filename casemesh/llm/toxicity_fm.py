@@ -40,9 +40,10 @@ class Terms:
         words = set(_WORD.findall(text.lower())) if text else set()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for word in words - self.known.keys():
-            b = bucket(word)
-            self.known[word] = b if self.only is None else self.only.get(b, -1)
+        for word in words:
+            if word not in self.known:
+                b = bucket(word)
+                self.known[word] = b if self.only is None else self.only.get(b, -1)
         found = {self.known[w] for w in words}
         found.discard(-1)
         return np.array(sorted(found), dtype=np.int32)
