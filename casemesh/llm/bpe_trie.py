@@ -24,7 +24,7 @@ from casemesh.llm.common import map_texts
 from casemesh.llm.library_ids import Encoder, encoder_of_worker
 
 #: Words, trie nodes and checked neighbours a worker keeps before it starts afresh.
-MOST_WORDS, MOST_NODES, MOST_PAIRS = 500_000, 800_000, 500_000
+MOST_WORDS, MOST_NODES, MOST_PAIRS = 250_000, 300_000, 300_000
 NEVER = 1 << 60
 
 
@@ -194,7 +194,7 @@ class TrieEncoder(Encoder):
         if not self.blanks_kept:
             text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
         words = self.cut(text)
-        if new := {w for w in words} - self.numbers.keys():
+        if new := {w for w in words if w not in self.numbers}:
             self._learn(list(new))
         return self.pieces.strung(np.array([self.numbers[w] for w in words], dtype=np.int64)).tolist()
 

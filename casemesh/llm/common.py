@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Rows and text bytes handled at once inside a task; they bound its memory and change no result.
-SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
