@@ -81,6 +81,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
                 new = [x if isinstance(x, pa.Array) else pa.array(x, type=kinds.field(i).type)
                        for i, x in zip(places, got, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=kinds.names)
+        pa.default_memory_pool().release_unused()  # the worker may go on with tasks of another kind
 
     return source.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ FACTORS = 8
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4_000, 8_000, 8_192
 THRESHOLD = 0.7
 #: Words whose bucket a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
