@@ -69,8 +69,9 @@ def intake(complaints: DataFrame, users: DataFrame) -> Outcome:
 
 def intake_cases(outcome: Outcome) -> DataFrame:
     """The case rows of an intake; the number is prefix, year and the case id."""
+    plain = F.col("case_id").cast("string")  # padded only where shorter: lpad would cut a longer id
     number = F.concat_ws("-", case_prefix(F.col("crime_type")), F.year("filed_at").cast("string"),
-                         F.lpad(F.col("case_id").cast("string"), 6, "0"))
+                         F.when(F.length(plain) < 6, F.lpad(plain, 6, "0")).otherwise(plain))
     return outcome.accepted.select(
         "case_id", number.alias("case_number"), "crime_type", F.lit("FIR_Registered").alias("investigation_status"),
         "org_id", F.col("user_id").alias("registered_by_user_id"), F.col("filed_at").alias("created_at"))

@@ -35,7 +35,7 @@ def _(m):
 @query("intake_cases", f"""
 WITH c AS ({COMPLAINTS})
 SELECT case_id, concat(CASE WHEN crime_type = 'Theft' THEN 'THE' WHEN crime_type = '' THEN 'CAS' ELSE 'WHE' END, '-2024-',
-  lpad(CAST(case_id AS VARCHAR), 6, '0')) AS case_number, crime_type, 'FIR_Registered' AS investigation_status, u.org_id,
+  repeat('0', greatest(0, 6 - length(CAST(case_id AS VARCHAR)))) || CAST(case_id AS VARCHAR)) AS case_number, crime_type, 'FIR_Registered' AS investigation_status, u.org_id,
   c.user_id AS registered_by_user_id, filed_at AS created_at
 FROM c JOIN m_users u ON u.user_id = c.user_id AND u.role = 'duty_officer'""")
 def _(m):

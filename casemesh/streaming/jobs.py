@@ -170,7 +170,12 @@ def replay(actions: DataFrame) -> DataFrame:
     Redelivered actions are taken once; each gets its place in its device's order and whether its payload still
     has the fingerprint taken on the device. Batch frames only.
     """
-    once = actions.dropDuplicates(["device", "local_seq"])
+    # of several deliveries under one number the earliest counts, by its fingerprint if they came together
+    place = ["device", "local_seq"]
+    leading = [c for c in ("received_at", "payload_hash") if c in actions.columns]
+    rest = [c for c in actions.columns if c not in (*place, *leading)]
+    first = F.min(F.struct(*leading, *rest)).alias("first")
+    once = actions.groupBy(*place).agg(first).select(*place, "first.*").select(*actions.columns)
     checked = once.withColumn("verdict", F.when(
         F.sha2("payload", 256) == F.col("payload_hash"), "accepted").otherwise("tampered"))
     return number_rows(checked, "local_seq", ["device"], "position").withColumn("source", F.lit("offline_sync"))
