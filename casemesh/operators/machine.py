@@ -23,8 +23,9 @@ def apply_moves(events: DataFrame, moves: Sequence[tuple[str, str, str]], states
                 bits: int = STRETCH_BITS) -> DataFrame:
     """``(key, order, action, from_state, accepted, to_state, reason)`` for every event.
 
-    ``initial`` holds ``(key, state)``; keys it lacks start in the first of ``states``. An event whose
-    ``blocked`` column is not null is refused with that reason and changes nothing.
+    ``initial`` holds ``(key, state)``; a null state is the first of ``states``. Events of keys it lacks are refused
+    with ``case_not_found`` and have no states. An event whose ``blocked`` column is not null is refused with that
+    reason and changes nothing.
     """
     table = {(a, action): b for a, action, b in moves}
     known = list(states)
@@ -42,10 +43,11 @@ def apply_moves(events: DataFrame, moves: Sequence[tuple[str, str, str]], states
     ends = ordered_scan(slim, ["k", "stretch"], ["o"], lambda row: tuple(known), ends_step,
                         f"k {kt}, stretch BIGINT, ends ARRAY<STRING>",
                         at_end=lambda row, ends: [(row.k, row.stretch, list(ends))])
-    started = ends.join(initial.select(F.col(key).alias("k"), F.col("state").alias("first_state")), "k", "left")
+    first = F.coalesce("state", F.lit(known[0])).alias("first_state")
+    started = ends.join(initial.select(F.col(key).alias("k"), first), "k", "left")
 
     def chain_start(row):
-        return row.first_state if isinstance(row.first_state, str) else known[0]
+        return row.first_state if isinstance(row.first_state, str) else None
 
     def chain_step(state, row):
         after = row.ends[known.index(state)] if state in known else state
@@ -56,13 +58,16 @@ def apply_moves(events: DataFrame, moves: Sequence[tuple[str, str, str]], states
     replay = slim.join(starts, ["k", "stretch"])
 
     def replay_step(state, row):
+        if state is None:
+            return None, [(row.k, row.o, row.action, None, False, None, "case_not_found")]
         to = None if isinstance(row.why, str) else table.get((state, row.action))
         reason = None if to else (row.why if isinstance(row.why, str) else "illegal_move")
         out = (row.k, row.o, row.action, state, to is not None, to or state, reason)
         return to or state, [out]
 
     done = ordered_scan(
-        replay, ["k", "stretch"], ["o"], lambda row: row.state, replay_step,
+        replay, ["k", "stretch"], ["o"],
+        lambda row: row.state if isinstance(row.state, str) else None, replay_step,
         f"k {kt}, o BIGINT, action STRING, from_state STRING, accepted BOOLEAN, to_state STRING, reason STRING")
     return done.withColumnRenamed("k", key).withColumnRenamed("o", order)
 

@@ -31,26 +31,29 @@ def resolve_policy(wanted: DataFrame, policies: DataFrame) -> DataFrame:
     return hits.groupBy(*KEYS).agg(best.alias("_r")).select(*KEYS, "_r.*")
 
 
-def _rule_maps(policies: DataFrame) -> DataFrame:
-    """One row per (role, document type) with a map from entity type to its rule."""
-    one = policies.groupBy(*KEYS).agg(F.min(F.struct("action", "min_confidence")).alias("rule"))
-    return one.groupBy("role", "doc_type").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity_type", "rule"))).alias("rules"))
+def _rule_map(policies: DataFrame) -> Column:
+    """The whole policy as one scalar: role -> document type -> entity type -> rule.
+
+    A policy is written by hand, so it holds at most one rule for each of a few roles, types and entities.
+    """
+    named = policies.dropna(subset=list(KEYS)).groupBy(*KEYS).agg(F.min(F.struct("action", "min_confidence")).alias("rule"))
+
+    def folded(df: DataFrame, keys: Sequence[str], entry: str, value: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(entry, value))).alias("rule"))
+
+    by_type = folded(named, KEYS[:2], KEYS[2], "rule")
+    return folded(folded(by_type, KEYS[:1], KEYS[1], "rule"), (), KEYS[0], "rule").scalar()
 
 
 def with_rules(df: DataFrame, policies: DataFrame) -> DataFrame:
     """Append ``_rules``: the rule maps for (role, type), (role, *), (*, type), (*, *), in that order.
 
-    The first three are equi joins; the last is at most one row of the policy table, read as a scalar.
+    Rules are looked up in a scalar, so rows are not shuffled by their few roles and types.
     """
-    maps = _rule_maps(policies)
-    any_role, any_type = F.col("role") == "*", F.col("doc_type") == "*"
-    by_both = maps.select("role", "doc_type", F.col("rules").alias("_m0"))
-    by_role = maps.filter(any_type).select("role", F.col("rules").alias("_m1"))
-    by_type = maps.filter(any_role).select("doc_type", F.col("rules").alias("_m2"))
-    general = maps.filter(any_role & any_type).agg(F.first("rules").alias("_m3")).scalar()
-    joined = df.join(by_both, ["role", "doc_type"], "left").join(by_role, "role", "left").join(by_type, "doc_type", "left")
-    return joined.select(*df.columns, F.array("_m0", "_m1", "_m2", general).alias("_rules"))
+    every, anyone = _rule_map(policies), F.lit("*")
+    return df.withColumn("_rules", F.array(*(
+        F.try_element_at(F.try_element_at(every, role), doc_type)
+        for role in (F.col("role"), anyone) for doc_type in (F.col("doc_type"), anyone))))
 
 
 def decide(rules: Column, entity: Column, confidence: Column) -> Column:
@@ -60,15 +63,14 @@ def decide(rules: Column, entity: Column, confidence: Column) -> Column:
     return F.when(rule["action"].isin("show", "flag") & sure, rule["action"]).otherwise("mask")
 
 
-def applicable_spans(spans: Column, text: Column) -> Column:
-    """Spans in masking order, without overlapping ones and those beyond the text.
+def applicable_spans(spans: Column, size: Column) -> Column:
+    """Spans in masking order, without overlapping ones and those beyond a text of ``size`` characters.
 
     Ordered by start, then confidence (highest first), then end; the first of overlapping spans stays.
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["span_start"].alias("at"), (-F.coalesce(s["confidence"], F.lit(0))).alias("rank"),
         s["span_end"].alias("to"), s["entity_type"].alias("entity_type"), s["confidence"].alias("confidence"))))
-    size = F.length(text)
 
     def step(acc: Column, s: Column) -> Column:
         fits = (s["at"] >= acc["cursor"]) & (s["at"] <= size) & (s["to"] <= size)
@@ -81,7 +83,10 @@ def applicable_spans(spans: Column, text: Column) -> Column:
 
 
 def mask_text(text: Column, spans: Column, rules: Column | None = None) -> Column:
-    """``text`` with every applicable span masked, shown or flagged; without rules all are masked."""
+    """``text`` with every span masked, shown or flagged; without rules all are masked.
+
+    ``spans`` are those of ``applicable_spans``.
+    """
 
     def framed(frame: tuple[str, str], name: Column) -> Column:
         return F.concat(F.lit(frame[0]), name, F.lit(frame[1]))
@@ -97,7 +102,7 @@ def mask_text(text: Column, spans: Column, rules: Column | None = None) -> Colum
         return F.struct(s["to"].alias("cursor"), F.concat(acc["out"], F.array(gap, shown)).alias("out"))
 
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(applicable_spans(spans, text), start, piece)
+    done = F.aggregate(spans, start, piece)
     rest = F.substring(text, done["cursor"] + 1, F.length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
 
@@ -110,13 +115,18 @@ def collect_spans(docs: DataFrame, tags: DataFrame, key: str = "doc_id") -> Data
     return docs.join(grouped, key, "left").withColumn("spans", F.coalesce("spans", empty))
 
 
+def resolve_spans(ready: DataFrame, text: str) -> DataFrame:
+    """``spans`` reduced to the applicable ones, once for each text and before it is read by many roles."""
+    return ready.withColumn("spans", applicable_spans(F.col("spans"), F.length(text)))
+
+
 def for_roles(docs: DataFrame, roles: Sequence[str]) -> DataFrame:
     return docs.withColumn("role", F.explode(F.array(*(F.lit(r) for r in roles))))
 
 
 def redact(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles: Sequence[str]) -> DataFrame:
     """``(doc_id, doc_type, role, text)``: the masked copy of each document for each role."""
-    ready = collect_spans(docs.select("doc_id", "doc_type", "raw_text"), tags)
+    ready = resolve_spans(collect_spans(docs.select("doc_id", "doc_type", "raw_text"), tags), "raw_text")
     ruled = with_rules(for_roles(ready, roles), policies)
     return ruled.select("doc_id", "doc_type", "role",
                         mask_text(F.col("raw_text"), F.col("spans"), F.col("_rules")).alias("text"))
@@ -124,7 +134,7 @@ def redact(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles: Sequenc
 
 def document_view(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles: Sequence[str]) -> DataFrame:
     """What each role reads: full text, the masked copy, or nothing while tagging or review is pending."""
-    ready = collect_spans(docs.select("doc_id", "doc_type", "status", "raw_text"), tags)
+    ready = resolve_spans(collect_spans(docs.select("doc_id", "doc_type", "status", "raw_text"), tags), "raw_text")
     ruled = with_rules(for_roles(ready, roles), policies)
     full = F.col("role").isin(*K.FULL_TEXT_ROLES)
     masked = mask_text(F.col("raw_text"), F.col("spans"), F.col("_rules"))
@@ -136,7 +146,7 @@ def document_view(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles:
 
 def preview(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles: Sequence[str]) -> DataFrame:
     """The same documents through a policy for many roles, whatever their status."""
-    ready = collect_spans(docs.select("doc_id", "doc_type", "status", "raw_text"), tags)
+    ready = resolve_spans(collect_spans(docs.select("doc_id", "doc_type", "status", "raw_text"), tags), "raw_text")
     ruled = with_rules(for_roles(ready, roles), policies)
     full = F.col("role").isin(*K.FULL_TEXT_ROLES)
     masked = mask_text(F.col("raw_text"), F.col("spans"), F.col("_rules"))
@@ -153,15 +163,14 @@ def redact_diary(entries: DataFrame, tags: DataFrame, role: str) -> DataFrame:
     visible = visible_diary(entries, role)
     if role in K.FULL_TEXT_ROLES:
         return visible
-    ready = collect_spans(visible, tags, "entry_id")
+    ready = resolve_spans(collect_spans(visible, tags, "entry_id"), "text")
     return ready.withColumn("text", mask_text(F.col("text"), F.col("spans"))).drop("spans")
 
 
 def span_decisions(docs: DataFrame, tags: DataFrame, policies: DataFrame, roles: Sequence[str]) -> DataFrame:
     """One row per role and applicable span with the action taken; the text is read only for its length."""
-    ready = collect_spans(docs.select("doc_id", "doc_type", "raw_text"), tags)
-    kept = ready.select("doc_id", "doc_type",
-                        F.explode(applicable_spans(F.col("spans"), F.col("raw_text"))).alias("_s"))
+    ready = collect_spans(docs.select("doc_id", "doc_type", F.length("raw_text").alias("size")), tags)
+    kept = ready.select("doc_id", "doc_type", F.explode(applicable_spans(F.col("spans"), F.col("size"))).alias("_s"))
     ruled = with_rules(for_roles(kept, roles), policies)
     return ruled.select(
         "doc_id", "doc_type", "role", F.col("_s.entity_type").alias("entity_type"),

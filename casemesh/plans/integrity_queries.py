@@ -112,11 +112,12 @@ def machine_sql(moves, events: str, first: str) -> str:
  e AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS i FROM ev),
  mv AS (SELECT * FROM {table}), init AS ({first}),
  run AS (SELECT k.case_id, CAST(0 AS BIGINT) AS i, init.state AS state FROM (SELECT DISTINCT case_id FROM e) k
-     JOIN init ON init.case_id = k.case_id
+     LEFT JOIN init ON init.case_id = k.case_id
    UNION ALL SELECT e.case_id, e.i, CASE WHEN e.blocked IS NULL THEN coalesce(mv.b, run.state) ELSE run.state END
    FROM run JOIN e ON e.case_id = run.case_id AND e.i = run.i + 1 LEFT JOIN mv ON mv.a = run.state AND mv.x = e.action),
  applied AS (SELECT e.case_id, e.seq, e.action, p.state AS from_state, e.blocked IS NULL AND mv.b IS NOT NULL AS accepted,
-     n.state AS to_state, CASE WHEN e.blocked IS NOT NULL THEN e.blocked WHEN mv.b IS NULL THEN 'illegal_move' END AS reason
+     n.state AS to_state, CASE WHEN p.state IS NULL THEN 'case_not_found'
+     WHEN e.blocked IS NOT NULL THEN e.blocked WHEN mv.b IS NULL THEN 'illegal_move' END AS reason
    FROM e JOIN run p ON p.case_id = e.case_id AND p.i = e.i - 1 JOIN run n ON n.case_id = e.case_id AND n.i = e.i
    LEFT JOIN mv ON mv.a = p.state AND mv.x = e.action)"""
 
@@ -166,10 +167,9 @@ def _(m):
         "CASE WHEN event_type IN ('view', 'click') THEN 'file_charge_sheet' WHEN event_type = 'purchase' "
         "THEN 'trial_hearing' ELSE 'judgment' END AS action",
         "CASE WHEN value > 6 THEN ' Convicted' WHEN value > 4 THEN 'acquitted' ELSE 'dismissed' END AS verdict")
-    known = steps.join(m.m_cases.select("case_id"), "case_id", "left_semi")
     gate = C.charge_sheet_ready(m.m_cases, m.m_stage_requirements, m.m_docs, m.m_requests)
     initial = m.m_cases.select("case_id", F.col("investigation_status").alias("state"))
-    return machine.apply_case(known, initial, gate)
+    return machine.apply_case(steps, initial, gate)
 
 
 # --- rate limits -------------------------------------------------------------------------------

@@ -42,13 +42,17 @@ def ledger_stream(submissions: DataFrame, ledger: DataFrame | None = None) -> Da
 
 
 def machine_stream(events: DataFrame, moves, first: str, initial: DataFrame | None = None) -> DataFrame:
-    """State machine over ``(case_id, seq, action[, blocked])``; ``initial`` holds ``(case_id, state)``."""
+    """State machine over ``(case_id, seq, action[, blocked])``.
+
+    ``initial`` holds ``(case_id, state)`` of all cases: events of others are refused. Without it every case starts
+    in ``first``.
+    """
     kt = events.schema["case_id"].dataType.simpleString()
     if "blocked" not in events.columns:
         events = events.withColumn("blocked", F.lit(None).cast("string"))
-    known = None if initial is None else initial.select("case_id", "state").groupBy("case_id")
+    known = None if initial is None else initial.select("case_id", F.coalesce("state", F.lit(first)).alias("state")).groupBy("case_id")
     return events.select("case_id", "seq", "action", "blocked").groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=Machine(moves, first),
+        statefulProcessor=Machine(moves, first if known is None else None),
         outputStructType=f"case_id {kt}, seq BIGINT, action STRING, from_state STRING, accepted BOOLEAN, "
                          "to_state STRING, reason STRING",
         outputMode="Append", timeMode="None", initialState=known)

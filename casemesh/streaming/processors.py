@@ -38,9 +38,12 @@ class WriteOnce(StatefulProcessor):
 
 
 class Machine(StatefulProcessor):
-    """Applies moves to the key's state; refused events are reported with a reason."""
+    """Applies moves to the key's state; refused events are reported with a reason.
 
-    def __init__(self, moves, first: str):
+    Keys without a state start in ``first``; if that is None, their events are refused.
+    """
+
+    def __init__(self, moves, first: str | None):
         self.table = {(a, action): b for a, action, b in moves}
         self.first = first
 
@@ -53,10 +56,11 @@ class Machine(StatefulProcessor):
         for row in _in_order(rows, "seq").itertuples(index=False):
             blocked = row.blocked if isinstance(row.blocked, str) else None
             to = None if blocked else self.table.get((state, row.action))
-            reason = None if to else (blocked or "illegal_move")
+            reason = None if to else "case_not_found" if state is None else (blocked or "illegal_move")
             out.append((key[0], row.seq, row.action, state, to is not None, to or state, reason))
             state = to or state
-        self.state.update((state,))
+        if state is not None:
+            self.state.update((state,))
         yield pd.DataFrame(out, columns=["case_id", "seq", "action", "from_state", "accepted", "to_state", "reason"])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:

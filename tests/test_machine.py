@@ -29,11 +29,14 @@ def test_moves_match_a_plain_walk_however_keys_are_cut(spark, bits):
         rows.append((case, *event))
         per.setdefault(case, []).append(event)
     events = spark.createDataFrame(rows, "case_id BIGINT, seq BIGINT, action STRING, why STRING")
-    initial = spark.createDataFrame([(1, "Absconded"), (3, "Order_Issued")], "case_id BIGINT, state STRING")
+    initial = spark.createDataFrame([(1, "Absconded"), (2, None), (3, "Order_Issued"), (4, "")],
+                                    "case_id BIGINT, state STRING")
     got = {}
     for r in machine.apply_bail(events, initial, blocked="why", bits=bits).orderBy("seq").collect():
         got.setdefault(r.case_id, []).append((r.seq, r.from_state, r.accepted, r.to_state, r.reason))
     first = {1: "Absconded", 3: "Order_Issued"}
+    unknown = [(seq, None, False, None, "case_not_found") for seq, *_ in per.pop(5)]
+    assert got.pop(5) == unknown
     assert got == {c: walk(K.BAIL_MOVES, e, first.get(c, "")) for c, e in per.items()}
 
 
@@ -43,7 +46,7 @@ def test_investigation_track_needs_the_gate_and_a_verdict(spark):
         (1, 1, "file_charge_sheet", None), (1, 2, "judgment", "convicted"), (1, 3, "trial_hearing", None),
         (1, 4, "judgment", "maybe"), (1, 5, "judgment", " Acquitted "), (1, 6, "file_charge_sheet", None),
         (2, 7, "file_charge_sheet", None)], "case_id BIGINT, seq BIGINT, action STRING, verdict STRING")
-    initial = spark.createDataFrame([(1, "Evidence_Collection")], "case_id BIGINT, state STRING")
+    initial = spark.createDataFrame([(1, "Evidence_Collection"), (2, None)], "case_id BIGINT, state STRING")
     got = {r.seq: (r.accepted, r.reason) for r in machine.apply_case(events, initial, gate).collect()}
     assert got == {1: (True, None), 2: (False, "illegal_move"), 3: (True, None), 4: (False, "bad_verdict"),
                    5: (True, None), 6: (False, "illegal_move"), 7: (False, "missing_requirements")}
