@@ -13,6 +13,8 @@ its first segment, the own index of its second) as *left* and (own index of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,22 +35,28 @@ BLOCK = 2_048
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the word shingles of a whole text, unsigned; zero without words."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """Hashes of the word shingles of a whole text in their order; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes lower A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     count = max(1, len(words) - width + 1)
     if count == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:count].tolist(),
-                                                                       ends[width - 1:].tolist(), strict=True)),
-                             dtype=np.uint64, count=count)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:count].tolist(), ends[width - 1:].tolist(),
+                                                                strict=True)), dtype=np.uint64, count=count)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the word shingles of a whole text, unsigned; zero without words."""
+    hashes = shingle_hashes(text, width)
+    count = len(hashes)
+    if not count:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, count, 1 << 16):  # a long text's bits are counted in runs
         run = hashes[at:at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -266,7 +274,11 @@ def one_of_each(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     Rows that share a doc_id are one document; the first by its text stays. A group without any id keeps the row with
     the least text.
     """
-    groups = stored(near_groups(docs, width, bits), "near-groups")
+    return pick_first(docs, stored(near_groups(docs, width, bits), "near-groups"), lambda t: signed(fingerprint(t, width)))
+
+
+def pick_first(docs: DataFrame, groups: DataFrame, digest: Callable[[str | None], int]) -> DataFrame:
+    """One row of ``docs`` for each component of ``groups`` (as of ``near_groups``); ``digest`` gives a text's ``fp``."""
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     single, repeated = kept.where("n = 1").select("doc_id"), kept.where("n > 1").select("doc_id")
     hidden, rank = own_name(), own_name()
@@ -276,7 +288,7 @@ def one_of_each(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     if docs.where("doc_id is null").limit(1).count() == 0:
         return docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(of_repeated.select(docs.columns))
     nameless = map_texts(docs.where("doc_id is null"), docs.columns, StructType([StructField(hidden, LongType())]),
-                         lambda: lambda texts: [pa.array([signed(fingerprint(t, width)) for t in texts], type=pa.int64())])
+                         lambda: lambda texts: [pa.array([digest(t) for t in texts], type=pa.int64())])
     only = groups.where("component_id is null").select(F.col("fp").alias(hidden), "component").distinct()
     only = only.withColumnRenamed("component", rank)
     least = Window.partitionBy(rank).orderBy("text")
