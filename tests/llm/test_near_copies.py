@@ -5,6 +5,7 @@ from cases import documents, no_documents, rows
 
 import corpus_pipeline
 from casemesh.llm import near_copies as N
+from casemesh.llm import simhash_golay as S
 
 
 def slow_set(text):
@@ -86,3 +87,20 @@ def test_odd_rows(spark):
     kept = N.one_of_each(documents(spark))
     assert kept.columns == documents(spark).columns and kept.count() == len(set(least.values()))
     assert N.one_of_each(no_documents(spark)).collect() == []
+
+
+def test_the_stage_keeps_texts_that_are_no_near_copies(spark):
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = "the same line again and "
+    words = fresh(300).split(" ")
+    chain = [" ".join(words[at:at + 240]) for at in (0, 20, 40, 60)]  # 216 of 256 shingles of the next, 176 of 296 of the last but one
+    docs = list(enumerate([line * 2_000 + fresh(40), line * 2_000 + fresh(40), *chain]))
+    a, b = (N.shingle_set(t) for _, t in docs[:2])
+    assert not near(set(a.tolist()), set(b.tolist()))
+    assert S.fingerprint(docs[0][1]) ^ S.fingerprint(docs[1][1]) == 0  # one group by three bits
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2]
+    unlike = docs[:2] + [docs[2], docs[5]]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(unlike, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 5]
