@@ -11,6 +11,7 @@ with "at" and "dot" spelled, phone numbers without the country's sign.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,8 +89,14 @@ def base_spans(text: str | None) -> list[Span]:
 #: Code points kept on both sides of an anchor, tokens of an entity at most.
 AROUND, LONGEST = 40, 24
 _ANCHOR = re.compile(r"[0-9@]+")
-_SPELLED = re.compile(r"[(\[{] ?(?:at|AT) ?[)\]}]")
-_SPELLED_ENDS = ("at)", "at]", "at}", "at )", "at ]", "at }", "AT)", "AT]", "AT}", "AT )", "AT ]", "AT }")
+_SPELLED = re.compile(r"[(\[{] ?at ?[)\]}]", re.I)
+_SPELLED_ENDS = ("at)", "at]", "at}", "at )", "at ]", "at }")
+# the word "at" and, up to five words later, the word "dot"; bounded, so linear in the text
+_BARE = re.compile(r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])[^A-Za-z0-9]{1,4}(?:[A-Za-z0-9]{1,63}[^A-Za-z0-9]{1,4}){1,4}"
+                   r"dot(?![A-Za-z0-9])", re.I)
+# an address in any of its forms: local part, sign, labels of the domain
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]|(?<= )at(?= )) ?[A-Za-z0-9-]+"
+                      r"(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
 _AT_WORDS = frozenset(("at", "dot"))
 
@@ -104,8 +111,12 @@ class Stretch:
 def stretches(text: str) -> list[Stretch]:
     """Parts of a text that may hold data: AROUND code points on both sides of each anchor, overlapping ones joined."""
     anchors = [m.span() for m in _ANCHOR.finditer(text)]
-    if any(x in text for x in _SPELLED_ENDS):
-        anchors = sorted([*anchors, *(m.span() for m in _SPELLED.finditer(text))])
+    lower = text.lower()
+    if any(x in lower for x in _SPELLED_ENDS):
+        anchors += [m.span() for m in _SPELLED.finditer(text)]
+    if "dot" in lower:
+        anchors += [m.span() for m in _BARE.finditer(text)]
+    anchors.sort()
     out, spans = [], []
     for start, end in anchors:
         a, b = max(0, start - AROUND), min(len(text), end + AROUND)
@@ -174,7 +185,7 @@ def _features(kind: str, tokens: list[str], i: int, j: int) -> list[str]:
     if kind == "email":
         dots = sum(t == "." or t.lower() == "dot" for t in inside[[k for k, t in enumerate(inside) if
                                                                    t == "@" or t.lower() == "at"][0]:])
-        found += [f"dots {min(dots, 3)}", f"spelled {'@' not in inside}"]
+        found += [f"dots {min(dots, 3)}", f"spelled {'@' not in inside}", f"address {_ADDRESS.fullmatch(''.join(inside)) is not None}"]
     elif kind == "card":
         found.append(f"luhn {16 <= len(digits) <= 19 and luhn(digits)}")
     elif kind == "ip":
@@ -284,13 +295,17 @@ def _gold(stretch: Stretch, spans: list[Span], lattice: _Lattice) -> np.ndarray
 def spelled_out(text: str, spans: list[Span]) -> tuple[str, list[Span]] | None:
     """The text with its addresses and phone numbers in forms that the patterns miss, and where all spans are then."""
     out, at, now, changed = [], 0, [], False
+    drawn_by = zlib.crc32(text.encode("utf-8", "surrogatepass"))
     for n, (kind, a, b) in enumerate(sorted(spans, key=lambda s: s[1])):
         if a < at:
             return None
         old = new = text[a:b]
         if kind == "email":
             local, _, domain = old.partition("@")
-            sign, dot = ((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "))[n % 3]
+            form = drawn_by + n
+            if form >> 2 & 1:  # a plain name and a short domain
+                local, domain = re.sub(r"[0-9._%+-]+", "", local) or local, ".".join(domain.split(".")[-2:])
+            sign, dot = ((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "))[form % 3]
             new = local + sign + domain.replace(".", dot)
         elif kind == "phone":
             new = re.sub(r"^\+[0-9]{1,3}[ .-]*", "", old) or old

@@ -101,3 +101,20 @@ def test_tables(spark):
 def test_masking():
     assert S.masked("a 12 b", [("ip", 2, 4)]) == "a [IP] b"
     assert S.masked("abcdef", [("phone", 1, 4), ("card", 2, 5)]) == "a[PHONE]f"
+
+
+def test_bare_spelled_addresses_far_from_any_digit():
+    around = "plain words without any figure " * 20
+    for address in ("jane at example dot com", "Jane AT Example DOT Com", "rosa.teno at mail dot example dot org", "bob (At) example (Dot) com"):
+        text = f"{around}please write to {address}, {around}"
+        assert [text[a:b] for _, a, b in FIELD.added(text, S.base_spans(text))] == [address]
+        assert address not in S.masked(text, FIELD.added(text, []))
+    for text in ("look at the red dot on the map", "we met at the polka dot shop", "at the dot", around):
+        assert FIELD.added(text, S.base_spans(text)) == []
+    for text in ("at " * 100_000 + "dot", "at " + "a" * 300_000 + " dot", "dot at " * 50_000):
+        S.stretches(text)
+
+
+def test_spelled_forms_do_not_hang_on_the_place():
+    forms = [S.spelled_out(f"mail {w}@mail.example.com now", [("email", 5, 5 + len(w) + 17)])[0] for w in "abcdefghijklmnopqrst"]
+    assert all(any(sign in f for f in forms) for sign in (" [at] ", " (at) ", " at "))
