@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from casemesh.llm.common import drawn, map_texts, own_name, sample_share
+from casemesh.llm.common import map_texts, own_name, sample_share
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -350,21 +351,53 @@ def train(texts: list[str], rounds: int = 12, rate: float = 0.3, decay: float =
 MAX_FITTED, MOST_STRETCHES = 3_000, 8
 
 
+def _kinds_in(text: str | None) -> int:
+    """The kinds of which a text has a pattern match, as bits in the order of KINDS."""
+    return sum({1 << KINDS.index(kind) for kind, _, _ in base_spans(text)})
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 17)
+
+
+def _drawn_parts(text: str) -> list[str]:
+    """MOST_STRETCHES stretches of a text at most, by a hash: at first half of them with a match, then others."""
+    parts = sorted({text[s.start:s.ends[-1]] for s in stretches(text)}, key=lambda p: (_hash(p), p))
+    if len(parts) <= MOST_STRETCHES:
+        return parts
+    with_match = [p for p in parts if base_spans(p)][:MOST_STRETCHES // 2]
+    return sorted([*with_match, *[p for p in parts if p not in with_match][:MOST_STRETCHES - len(with_match)]])
+
+
 def fit_field(docs: DataFrame, max_fitted: int = MAX_FITTED) -> Field:
-    """A field from a sample of about ``max_fitted`` rows of ``docs`` (doc_id, text), drawn by a hash of doc_id.
+    """A field from a sample of about ``max_fitted`` rows of ``docs`` (doc_id, text), drawn by a hash of the text.
 
-    Of a sampled document the first MOST_STRETCHES stretches are learned from; only those come to the driver. Without
-    a pattern match in the sample the field adds nothing.
+    All rows are scanned for the patterns. Of those with a match of a kind a sixth of ``max_fitted`` is drawn for each
+    of the four kinds, all of them where there are fewer; a third comes from rows without any match. So the field
+    learns from rare data in a table of any size. Of a drawn document MOST_STRETCHES stretches come to the driver.
+    Where no row has a pattern match the field adds nothing.
     """
-    share = sample_share(docs.count(), max_fitted)
-    picked = docs.select("doc_id", "text").where(drawn(F.col("doc_id"), share, 17)).dropDuplicates(["doc_id", "text"])
-    out = StructType([StructField("parts", ArrayType(StringType()))])
+    texts = docs.select("text").where(F.length("text") > 0)
+    bits = StructType([StructField("bits", IntegerType())])
+    counted = map_texts(texts, [], bits, lambda: lambda texts: [[_kinds_in(t) for t in texts]])
+    rows = {r["bits"]: r["n"] for r in counted.groupBy("bits").agg(F.count("*").alias("n")).collect()}
+    if not any(rows):
+        return Field((), np.zeros(0))
+    of_kind = [sample_share(sum(n for b, n in rows.items() if b >> k & 1), max(1, max_fitted // 6)) for k in range(len(KINDS))]
+    without = sample_share(rows.get(0, 0), max(1, max_fitted // 3))
+    most = max([without, *of_kind])
 
-    def make():
-        return lambda texts: [[[t[s.start:s.ends[-1]] for s in stretches(t)[:MOST_STRETCHES]] if t else [] for t in texts]]
+    def picked(text: str) -> bool:
+        place = _hash(text) / (1 << 64)
+        if place >= most:
+            return False
+        bits = _kinds_in(text)
+        return place < (max(share for k, share in enumerate(of_kind) if bits >> k & 1) if bits else without)
 
-    got = map_texts(picked, ["doc_id"], out, make).where(F.size("parts") > 0).orderBy("doc_id", "parts").collect()
-    return train([part for r in got for part in r["parts"]])
+    out = StructType([StructField("parts", ArrayType(StringType()))])
+    got = map_texts(texts, [], out, lambda: lambda texts: [[_drawn_parts(t) if picked(t) else [] for t in texts]])
+    return train([part for parts in sorted(r["parts"] for r in got.where(F.size("parts") > 0).distinct().collect())
+                  for part in parts])
 
 
 def joined(spans: list[Span]) -> str:

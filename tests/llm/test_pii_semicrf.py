@@ -118,3 +118,18 @@ def test_bare_spelled_addresses_far_from_any_digit():
 def test_spelled_forms_do_not_hang_on_the_place():
     forms = [S.spelled_out(f"mail {w}@mail.example.com now", [("email", 5, 5 + len(w) + 17)])[0] for w in "abcdefghijklmnopqrst"]
     assert all(any(sign in f for f in forms) for sign in (" [at] ", " (at) ", " at "))
+
+
+def test_rare_data_is_learned_from_in_a_table_of_any_size(spark):
+    rare = [(5_000 + n, s) for n, s in enumerate(sample()[:40])]
+    for size in (0, 4_000):
+        docs = spark.createDataFrame([*rare, *((n, f"text {n} of the others") for n in range(size))], "doc_id long, text string")
+        field = S.fit_field(docs, 120)
+        assert field.names and {k for k in S.KINDS if f"{k} bias" in field.names} == set(S.KINDS)
+    assert S.fit_field(spark.createDataFrame([(n, f"text {n}") for n in range(50)], "doc_id long, text string")).names == ()
+
+
+def test_stretches_of_a_document_are_not_the_first():
+    text = (" " * 90).join([*(f"page {n}" for n in range(60)), "a.b@example.com", *(f"line {n}" for n in range(60))])
+    parts = S._drawn_parts(text)
+    assert len(parts) == S.MOST_STRETCHES and any("@" in p for p in parts) and any("line" in p for p in parts)
