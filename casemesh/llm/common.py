@@ -41,6 +41,11 @@ def own_name() -> str:
     return f"_llm_{uuid.uuid4().hex[:12]}"
 
 
+def quoted(docs: DataFrame) -> list[str]:
+    """The columns of ``docs`` for ``select``, whatever their names hold."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def doc_crc(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -67,9 +72,11 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
     ``make()`` runs once a task and gives a function from a list of texts (null: None) to one list or Arrow array
     for every field of ``out``. No shuffle; rows that ``docs`` has twice are computed twice.
     """
-    hidden = own_name()
-    source = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].cast("string").alias(hidden))
-    schema = StructType([StructField(c, source.schema[c].dataType, True) for c in keep] + list(out.fields))
+    # under plain names, as mapInArrow does not take a column whose name has a dot
+    names = [f"_{k}" for k in range(len(keep))]
+    source = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)],
+                         docs[f"`{text}`"].cast("string").alias("_text"))
+    schema = StructType([StructField(n, source.schema[n].dataType, True) for n in names] + list(out.fields))
     kinds = to_arrow_schema(schema)
     places = range(len(keep), len(schema.fields))
 
@@ -83,7 +90,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=kinds.names)
         pa.default_memory_pool().release_unused()  # the worker may go on with tasks of another kind
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *out.fieldNames())
 
 
 def sample_share(counted: int, most: int) -> float:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.llm import (bpe_trie, id_coder, language_centroids, library_ids, packing_nnls, pii_semicrf, quality_rules,
-                          redirect_verdicts, simhash_golay, topk_segments, toxicity_fm)
+                          redirect_verdicts, simhash_golay, source_divergence, substring_dedup, token_alignment,
+                          topk_segments, toxicity_fm)
 from casemesh.llm.redirect_verdicts import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"),
              Rule("org", "/fr/", "allow")]
 
@@ -185,3 +186,73 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IS NOT NULL THEN verdict WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN spread ON ruled.node = spread.node
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two tokenizers' ids over every document, and how common their linked pairs are."""
+    text = library_ids.tokenizer_text(public_tokenizers.path(BYTE_TOKENIZER))
+    with open(public_tokenizers.path(PIECE_TOKENIZER), "rb") as f:
+        return token_alignment.align_texts(table(spark, sf_dir, "documents"), text, f.read())
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of every language differ in their words, and the words that set each apart."""
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), found AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), kinds AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+), sources AS (
+  SELECT DISTINCT lang, source FROM docs
+), totals AS (
+  SELECT s.lang, s.source, coalesce(sum(n), 0) AS total FROM sources s LEFT JOIN counted c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(coalesce(c.n, 0) + 2 AS HUGEINT) * 1000000000) // CAST(t.total + 2 * v AS HUGEINT) AS p
+  FROM totals t JOIN kept k USING (lang) JOIN kinds USING (lang)
+  LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), whole AS (
+  SELECT lang, sum(total) AS total FROM totals GROUP BY lang
+), q AS (
+  SELECT lang, term, 1 + (CAST(sum(n) + 2 AS HUGEINT) * 1000000000) // CAST(any_value(w.total) + 2 * any_value(v) AS HUGEINT) AS q
+  FROM p JOIN whole w USING (lang) JOIN kinds USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) d
+    ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+  FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's words that no earlier passage repeats."""
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from casemesh.llm.common import map_texts, own_name, stored
+from casemesh.llm.common import map_texts, own_name, quoted, stored
 from casemesh.llm.components import connected_components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and bits
@@ -286,7 +286,7 @@ def pick_first(docs: DataFrame, groups: DataFrame, digest: Callable[[str | None]
     of_repeated = (docs.join(repeated, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first))
                    .where(F.col(rank) == 1).drop(rank))
     if docs.where("doc_id is null").limit(1).count() == 0:
-        return docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(of_repeated.select(docs.columns))
+        return docs.join(single, "doc_id", "left_semi").select(quoted(docs)).unionByName(of_repeated.select(quoted(docs)))
     nameless = map_texts(docs.where("doc_id is null"), docs.columns, StructType([StructField(hidden, LongType())]),
                          lambda: lambda texts: [pa.array([digest(t) for t in texts], type=pa.int64())])
     only = groups.where("component_id is null").select(F.col("fp").alias(hidden), "component").distinct()
@@ -294,5 +294,5 @@ def pick_first(docs: DataFrame, groups: DataFrame, digest: Callable[[str | None]
     least = Window.partitionBy(rank).orderBy("text")
     place = own_name()
     of_nameless = nameless.join(only, hidden).withColumn(place, F.row_number().over(least)).where(F.col(place) == 1)
-    return (docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(of_repeated.select(docs.columns))
-            .unionByName(of_nameless.select(docs.columns)))
+    return (docs.join(single, "doc_id", "left_semi").select(quoted(docs)).unionByName(of_repeated.select(quoted(docs)))
+            .unionByName(of_nameless.select(quoted(docs))))
