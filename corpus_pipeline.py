@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.llm import language_centroids, library_ids, near_copies, packing_nnls, pii_semicrf, toxicity_fm
-from casemesh.llm.common import own_name, shared_folder
+from casemesh.llm.common import own_name, quoted, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_centroids.fit_languages(docs, ~language_centroids.held_out())
     names = (own_name(), own_name(), own_name())
     judged = language_centroids.judge_languages(docs, model, docs.columns, names)
-    return judged.where(~F.col(names[2])).select(docs.columns)
+    return judged.where(~F.col(names[2])).select(quoted(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity_fm.fit_machine(docs, labels, ~toxicity_fm.held_out())
     score = own_name()
     scored = toxicity_fm.score_toxicity(docs, machine, docs.columns, score)
-    return scored.where(F.col(score) < toxicity_fm.THRESHOLD).select(docs.columns)
+    return scored.where(F.col(score) < toxicity_fm.THRESHOLD).select(quoted(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = pii_semicrf.mask_texts(docs, pii_semicrf.fit_field(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+    return clean.select(quoted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
