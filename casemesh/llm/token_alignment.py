@@ -6,8 +6,9 @@ All tokens of A and B in one group are linked. Both tokenizers work on stretches
 character that is no white space with a blank after it. So a task cuts its texts there and aligns every distinct stretch
 once, all new ones together; a text's groups are those of its stretches, one after another.
 
-Pairs of ids are counted inside the tasks, then over the corpus. A second scan reads the counts from a table sent to all
-tasks if it is no larger than MOST_PAIRS, and else joins the texts' pairs to it.
+A text's distinct pairs are kept packed beside its result, so that texts are encoded once. They are counted inside the
+tasks, then over the corpus; then every text's pairs look up their counts in a table sent to all tasks, if it has no more
+than MOST_PAIRS rows, and are joined to it otherwise.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from casemesh.llm.common import map_texts, own_name, slices, stored
 from casemesh.llm.library_ids import encoder_of_worker
@@ -98,6 +99,20 @@ class Aligner:
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)  # distinct pairs of a stretch, and links
         self.ends = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep only stretches met in more than one place, the most frequent half of what may be remembered at most."""
+        often = np.flatnonzero(self.used > 1)
+        kept = np.sort(often[np.argsort(-self.used[often], kind="stable")][:REMEMBERED // 2])
+        names = list(self.numbers)  # in the order of their numbers
+        _, at = self.pairs(kept)
+        sizes = self.ends[kept + 1] - self.ends[kept]
+        self.numbers = {names[k]: n for n, k in enumerate(kept.tolist())}
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        self.sizes, self.used = self.sizes[kept], self.used[kept] // 2
+        self.keys, self.times = self.keys[at], self.times[at]
+        self.ends = np.concatenate(([0], np.cumsum(sizes)))
 
     def numbered(self, names: Sequence[str]) -> np.ndarray:
         """The number of every stretch."""
@@ -144,6 +159,7 @@ class Aligner:
         self.groups += [b";".join(printed[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         self.numbers.update(zip(names, range(first_number, first_number + len(names)), strict=True))
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
         self.keys, self.times = np.concatenate([self.keys, found % whole]), np.concatenate([self.times, links])
         pairs = np.bincount(found // whole, minlength=len(names))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(pairs)])
@@ -165,10 +181,11 @@ class Aligner:
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The stretches' numbers of all texts and the text of each; none where there are no tokens."""
         if len(self.numbers) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         names = [stretches(t) if t else [] for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(n) for n in names])
         numbers = self.numbered([n for some in names for n in some])
+        self.used += np.bincount(numbers, minlength=len(self.used))
         bad = np.zeros(len(texts), bool)
         if len(of):
             bad[of[self.sizes[numbers, 0] == 0]] = True
@@ -192,13 +209,20 @@ class _Aligners(Aligner):
     """Kept by a worker from task to task."""
 
 
-def _files(docs: DataFrame, a: str, b: bytes):
-    return docs.sparkSession.sparkContext.broadcast((a, b))  # two vocabulary files, about 2 MB
+_OWN = [StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")]
 
 
-def _of_texts(aligner: Aligner, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of every text: the text's place, the pair's key and its links in that text."""
+def _measures(aligner: Aligner, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[bytes]]:
+    """Sizes, printed groups and packed pairs of every text."""
     numbers, of = aligner.texts(texts)
+    sizes = np.zeros((len(texts), 4), np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[:len(of)]
+    if len(of):
+        sizes[of[starts]] = np.add.reduceat(aligner.sizes[numbers], starts)
+    printed = [""] * len(texts)
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False):
+        printed[int(of[start])] = hashlib.sha256(b";".join([aligner.groups[n] for n in numbers[start:end].tolist()])).hexdigest()
+    # distinct pairs of every text with their links there
     met, times = np.unique(of << 32 | numbers, return_counts=True)
     place, at = aligner.pairs(met & 0xFFFFFFFF)
     whole = len(aligner.length_a) * aligner.size_b
@@ -207,15 +231,28 @@ def _of_texts(aligner: Aligner, texts: list[str | None]) -> tuple[np.ndarray, np
     first = np.flatnonzero(np.concatenate(([True], coded[order][1:] != coded[order][:-1])))[:len(coded)]
     links = np.add.reduceat((times[place] * aligner.times[at])[order], first) if len(first) else np.zeros(0, np.int64)
     found = coded[order][first]
-    return found // whole, found % whole, links
+    edges = np.searchsorted(found, np.arange(len(texts) + 1) * whole)
+    pack = zstandard.ZstdCompressor(level=1)
+    packed = [pack.compress(np.diff(found[i:j] % whole, prepend=0).tobytes() + links[i:j].tobytes())
+              for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return sizes, printed, packed
 
 
-def pair_counts(docs: DataFrame, a: str, b: bytes) -> DataFrame:
-    """(key, n): in how many documents each pair of ids is linked; ``key`` is A's id times B's size plus B's id."""
-    files = _files(docs, a, b)
+class _Pairs:
+    """The pairs of many texts as packed by ``_measures``: their keys, links and the place of their text."""
+
+    def __init__(self, packed: pa.Array):
+        open_up = zstandard.ZstdDecompressor()
+        both = [np.frombuffer(open_up.decompress(p), np.int64) for p in packed.to_pylist()]
+        self.place = np.repeat(np.arange(len(both)), [len(b) // 2 for b in both])
+        empty = [np.zeros(0, np.int64)]
+        self.key = np.concatenate([np.cumsum(b[:len(b) // 2]) for b in both] + empty)
+        self.links = np.concatenate([b[len(b) // 2:] for b in both] + empty)
 
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(key, n): in how many documents each pair of ids is linked; ``key`` is A's id times B's size plus B's id."""
     def run(batches):
-        aligner = encoder_of_worker(files.value, _Aligners)
         keys, counts, held = [], [], 0
 
         def summed():
@@ -224,8 +261,7 @@ def pair_counts(docs: DataFrame, a: str, b: bytes) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 0):
-                _, found, _ = _of_texts(aligner, part.column(0).to_pylist())
-                found, n = np.unique(found, return_counts=True)
+                found, n = np.unique(_Pairs(part.column(0)).key, return_counts=True)
                 keys.append(found)
                 counts.append(n)
                 held += len(found)
@@ -239,10 +275,8 @@ def pair_counts(docs: DataFrame, a: str, b: bytes) -> DataFrame:
             one, two = summed()
             for k in range(0, len(one), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(one[k:k + (1 << 18)]), pa.array(two[k:k + (1 << 18)])], names=["key", "n"])
-        pa.default_memory_pool().release_unused()
 
-    rows = docs.select(docs["`text`"].cast("string").alias("t")).mapInArrow(run, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+    return aligned.select("pairs").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def with_best(counts: DataFrame, size_b: int) -> DataFrame:
@@ -252,22 +286,6 @@ def with_best(counts: DataFrame, size_b: int) -> DataFrame:
             .select("key", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-_OWN = [StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-
-
-def _measures(aligner: Aligner, texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Sizes and printed groups of every text, and the stretches they came from."""
-    numbers, of = aligner.texts(texts)
-    sizes = np.zeros((len(texts), 4), np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[:len(of)]
-    if len(of):
-        sizes[of[starts]] = np.add.reduceat(aligner.sizes[numbers], starts)
-    printed: list[str | None] = [""] * len(texts)
-    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False):
-        printed[int(of[start])] = hashlib.sha256(b";".join([aligner.groups[n] for n in numbers[start:end].tolist()])).hexdigest()
-    return [*(sizes[:, k] for k in range(4)), printed], numbers, of
-
-
 def align_texts(docs: DataFrame, a: str, b: bytes, keep: list[str] | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """The columns ``keep`` (doc_id) of every row with ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``,
     ``count_sum`` and ``groups_sha256``.
@@ -278,83 +296,60 @@ def align_texts(docs: DataFrame, a: str, b: bytes, keep: list[str] | None = None
     columns are read only if kept; an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
-    files = _files(docs, a, b)
+    files = docs.sparkSession.sparkContext.broadcast((a, b))  # two vocabulary files, about 2 MB
     size_b = Aligner((a, b)).size_b
-    counts = stored(with_best(stored(pair_counts(docs, a, b), "pair-counts"), size_b), "linked-pairs")
-    out = StructType([*_OWN, StructField("groups_sha256", StringType()), StructField("n_best", LongType()),
-                      StructField("count_sum", LongType())])
-    order = [*(f"`{c}`" for c in keep), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    if counts.count() > most_pairs:
-        return _joined(docs, files, counts, keep).select(order)
-    table = counts.toArrow().sort_by("key")
-    said = docs.sparkSession.sparkContext.broadcast(tuple(
-        table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n", "best")))
 
     def make():
         aligner = encoder_of_worker(files.value, _Aligners)
-        key, n, best = said.value
-        state = {"known": 0, "of": None, "sums": np.zeros((0, 2), np.int64)}
-
-        def scored() -> np.ndarray:
-            """Best links and summed counts of every stretch the aligner remembers."""
-            if state["of"] is not aligner.numbers:
-                state.update(known=0, of=aligner.numbers, sums=np.zeros((0, 2), np.int64))
-            new = np.arange(state["known"], len(aligner.groups))
-            place, at = aligner.pairs(new)
-            row, times = np.searchsorted(key, aligner.keys[at]), aligner.times[at]
-            more = np.zeros((len(new), 2), np.int64)
-            np.add.at(more[:, 0], place, times * best[row])
-            np.add.at(more[:, 1], place, times * n[row])
-            state.update(known=len(aligner.groups), sums=np.concatenate([state["sums"], more]))
-            return state["sums"]
 
         def work(texts):
-            columns, numbers, of = _measures(aligner, texts)
-            sums = np.zeros((len(texts), 2), np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[:len(of)]
-            known = scored()
-            if len(of):
-                sums[of[starts]] = np.add.reduceat(known[numbers], starts)
-            return [*(pa.array(c, pa.string()) if isinstance(c, list) else pa.array(c) for c in columns), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+            sizes, printed, packed = _measures(aligner, texts)
+            return [*(pa.array(sizes[:, k]) for k in range(4)), printed, pa.array(packed, pa.binary())]
         return work
 
-    return map_texts(docs, keep, out, make).select(order)
+    out = StructType([*_OWN, StructField("groups_sha256", StringType()), StructField("pairs", BinaryType())])
+    names = [own_name() for _ in keep]
+    aligned = map_texts(docs, keep, out, make).toDF(*names, *out.fieldNames())
+    # texts are encoded once; their pairs are kept packed until all are counted
+    aligned = stored(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    counts = stored(with_best(stored(pair_counts(aligned), "pair-counts"), size_b), "linked-pairs")
+    sums = _summed if counts.count() <= most_pairs else _joined
+    found = sums(aligned, counts).select(*names, *(f.name for f in _OWN), "n_best", "count_sum", "groups_sha256")
+    return found.toDF(*keep, *found.columns[len(keep):])
 
 
-def _joined(docs: DataFrame, files, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """As ``align_texts``, with the pairs of every distinct text joined to their counts."""
-    digests = StructType([*_OWN, StructField("groups_sha256", StringType()), StructField("u", LongType()), StructField("v", LongType())])
+def _summed(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """``aligned`` with ``n_best`` and ``count_sum``, the counts sent to every task."""
+    table = counts.toArrow().sort_by("key")
+    said = aligned.sparkSession.sparkContext.broadcast(tuple(
+        table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n", "best")))
+    rest = [c for c in aligned.columns if c not in ("pairs", "row")]
+    schema = StructType([*(aligned.schema[c] for c in rest), StructField("n_best", LongType()), StructField("count_sum", LongType())])
 
-    def make():
-        aligner = encoder_of_worker(files.value, _Aligners)
+    def run(batches):
+        key, n, best = said.value
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1):
+                found = _Pairs(part.column(part.num_columns - 1))
+                at = np.searchsorted(key, found.key)
+                new = [np.zeros(part.num_rows, np.int64) for _ in range(2)]
+                for sums, worth in zip(new, (best, n), strict=True):
+                    np.add.at(sums, found.place, found.links * worth[at])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, new)], names=schema.names)
 
-        def work(texts):
-            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest((t or "").encode()) for t in texts), np.int64).reshape(-1, 2)
-            columns, _, _ = _measures(aligner, texts)
-            return [*(pa.array(c, pa.string()) if isinstance(c, list) else pa.array(c) for c in columns),
-                    pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-        return work
+    return aligned.select(*rest, "pairs").mapInArrow(run, schema)
 
-    names = [own_name() for _ in keep]
-    told = stored(map_texts(docs, keep, digests, make).toDF(*names, *digests.fieldNames()), "aligned")
+
+def _joined(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """As ``_summed`` for more pairs than are sent about: the texts' pairs are joined to their counts."""
     def run(batches):
-        aligner = encoder_of_worker(files.value, _Aligners)
         for batch in batches:
-            for part in slices(batch, 0):
-                of, key, links = _of_texts(aligner, part.column(0).to_pylist())
-                u, v = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[of], v[of], key, links)], names=["u", "v", "key", "links"])
-
-    text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
-    def pair_of(texts):
-        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), np.int64).reshape(-1, 2)
-        return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-
-    ends = StructType([StructField("u", LongType()), StructField("v", LongType())])
-    marked = map_texts(docs.select(text.alias("t")).distinct(), ["t"], ends, lambda: pair_of, "t")
-    sums = (marked.mapInArrow(run, "u long, v long, key long, links long").join(counts, "key").groupBy("u", "v")
+            for part in slices(batch, 1):
+                found = _Pairs(part.column(1))
+                row = part.column(0).to_numpy(zero_copy_only=False)[found.place]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, found.key, found.links)], names=["row", "key", "links"])
+
+    sums = (aligned.select("row", "pairs").mapInArrow(run, "row long, key long, links long").join(counts, "key").groupBy("row")
             .agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"),
                  F.sum(F.col("links") * F.col("n")).alias("count_sum")))
-    joined = told.join(sums, ["u", "v"], "left").select(
-        *names, *(f.name for f in _OWN), "groups_sha256", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")))
-    return joined.toDF(*keep, *joined.columns[len(keep):])
+    return aligned.drop("pairs").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
