@@ -83,7 +83,13 @@ class _Sums:
 
     def combined(self) -> tuple[np.ndarray, ...]:
         group, key, n, df = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order, at = _runs(group, key)
+        order = np.argsort(key)
+        if group.max() < 1 << 16:
+            order = order[np.argsort(group[order].astype(np.uint16), kind="stable")]
+        else:
+            order = order[np.argsort(group[order], kind="stable")]
+        new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])))
+        at = np.flatnonzero(new)
         summed = (group[order][at], key[order][at], np.add.reduceat(n[order], at), np.add.reduceat(df[order], at))
         self.parts, self.rows = [summed], len(at)
         return summed
@@ -131,12 +137,12 @@ def term_counts(docs: DataFrame, bits: int = 64, among: DataFrame | None = None)
             text, term, known = terms_of(texts)
             if not len(text):
                 continue
-            order, at = _runs(text, term)
-            n = np.diff(np.append(at, len(order)))
+            met, n = np.unique(text * len(known) + term, return_counts=True)
+            text, term = np.divmod(met, len(known))
             of = np.array([numbers.setdefault(g, len(numbers)) for g in zip(langs, sources, strict=True)], np.int64)
             values = (keys.setdefault(t, len(keys)) for t in known) if strings else (digest(t, bits) for t in known)
             named = np.fromiter(values, np.int64, len(known))
-            sums.add(of[text[order][at]], named[term[order][at]], n.astype(np.int64), np.ones(len(at), np.int64))
+            sums.add(of[text], named[term], n, np.ones(len(met), np.int64))
             if sums.rows > HELD:
                 sums.combined()
                 if sums.rows > HELD // 2:
