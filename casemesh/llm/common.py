@@ -36,6 +36,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, each written whole before it is read, and removed when nothing needs it.
+
+    What reads a table later has been written itself by then, so a lost executor never needs a removed one.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove all its tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_name() -> str:
     """A column name that no table of the caller has."""
     return f"_llm_{uuid.uuid4().hex[:12]}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemesh.llm.common import stored
+from casemesh.llm.common import Scratch, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -29,17 +29,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the least node reachable. Edges with a null end or from a node to itself count for nothing;
     nodes without another edge are not in the result. Every round is a few shuffles with partial minima and is
-    written to the shared folder; the number of rounds grows with the logarithm of the longest path. Only a row
+    written to the shared folder in place of the one before; the number of rounds grows with the logarithm of the longest path. Only a row
     count and a checksum of each round reach the driver.
     """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .distinct(), "edges")
+    spark = edges.sparkSession
+    held = Scratch(spark, "edges")
+    now = held.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                   .distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
-        now = stored(_stars(now), "stars")
+        later = Scratch(spark, "stars")
+        now = later.put(_stars(now), "stars")
+        held.drop()
+        held = later
         if (mark := _mark(now)) == seen:
             break
         seen = mark
     roots = now.select(F.col("v").alias("node")).distinct()
-    return (now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            .unionByName(roots.select("node", F.col("node").alias("component"))))
+    found = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                   .unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    held.drop()
+    return found

@@ -50,13 +50,13 @@ def sample():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("together", "block", "partners"), [(1, 2_048, 8), (2, 2_048, 8), (1, 16, 1)])
-def test_groups_against_brute_force_jaccard(spark, together, block, partners):
+@pytest.mark.parametrize("block", [2_048, 3])
+def test_groups_against_brute_force_jaccard(spark, block):
     docs = sample()
     least, pairs = slow_groups(docs)
     sets = dict((i, slow_set(t)) for i, t in docs)
     assert sum(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in pairs) > 30  # many just over 0.8
-    got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), together, block, partners)
+    got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), block)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == least
 
 
@@ -69,7 +69,7 @@ def test_the_stage_finds_copies_that_64_signs_tell_apart(spark):
 def test_one_large_group(spark):
     rng = random.Random(9)
     docs = list(enumerate(family(rng, 120, 200, 3)))
-    got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), 1, 20, 2)
+    got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), 20)
     assert {r["component_id"] for r in got.collect()} == set(slow_groups(docs)[0].values()) == {0}
 
 
@@ -104,3 +104,36 @@ def test_the_stage_keeps_texts_that_are_no_near_copies(spark):
     unlike = docs[:2] + [docs[2], docs[5]]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(unlike, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 5]
+
+
+def test_a_family_of_no_copies_and_a_copy_of_each(spark):
+    """One frame with other words in it: all share keys with one another, and each has one near copy."""
+    rng = random.Random(12)
+    frame = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        words = list(frame)
+        for at in rng.sample(range(150), 9):
+            words[at] = f"x{rng.randrange(10**6)}"
+        near_copy = list(words)
+        near_copy[75] = "changed"
+        texts += [" ".join(words), " ".join(near_copy)]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    for block in (2_048, 16):
+        got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == slow_groups(docs)[0]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = words[:30_000] + ["new"] * 300 + words[30_000:]
+    docs = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:40_000]))]
+    got = N.near_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_dotted_columns(spark):
+    docs = documents(spark).selectExpr("*", "score AS `a.b`")
+    assert N.one_of_each(docs).columns == docs.columns

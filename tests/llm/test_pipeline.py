@@ -3,10 +3,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 from cases import documents, no_documents
+from test_near_copies import slow_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from casemesh.llm import language_centroids, pii_semicrf, simhash_golay, toxicity_fm
+from casemesh.llm import language_centroids, pii_semicrf, toxicity_fm
 
 LABELS = [(i, int(i % 5 == 0)) for i in range(12)]
 
@@ -29,17 +30,9 @@ def slow(spark, docs, path):
     terms = toxicity_fm.Terms(machine.places)
     rows = [r for r in rows if machine.score(terms(r["text"])) < toxicity_fm.THRESHOLD]
     kept = []
-    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
-        r["fp"] = simhash_golay.fingerprint(r["text"])
-    prints = sorted({r["fp"] for r in rows})
-    group = {p: p for p in prints}
-    for _ in prints:
-        for a in prints:
-            for b in prints:
-                if (a ^ b).bit_count() <= 3:
-                    group[a] = group[b] = min(group[a], group[b])
-    for g in set(group.values()):
-        of = [r for r in rows if group[r["fp"]] == g]
+    least, _ = slow_groups(list(enumerate(r["text"] for r in rows)))
+    for g in sorted(set(least.values())):
+        of = [r for n, r in enumerate(rows) if least[n] == g]
         kept.append(min(of, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"])))
     left = spark.createDataFrame([(r["doc_id"], r["text"]) for r in kept], "doc_id long, text string")
     field = pii_semicrf.fit_field(left)
@@ -66,8 +59,8 @@ def test_against_plain_rows(spark, tmp_path):
 
 
 def test_filters_keep_the_columns(spark, tmp_path):
-    docs = documents(spark)
-    path = folder(spark, tmp_path, docs)
+    docs = documents(spark).selectExpr("*", "score AS `a.b`")
+    path = folder(spark, tmp_path, documents(spark))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns
 
