@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -74,6 +75,13 @@ def doc_crc(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def give_back() -> None:
+    """At a task's end: memory that the Python worker holds without use; it may go on with tasks of another kind."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int):
     """The batch in runs of rows of bounded text size; one longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -110,7 +118,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
                 new = [x if isinstance(x, pa.Array) else pa.array(x, type=kinds.field(i).type)
                        for i, x in zip(places, got, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=kinds.names)
-        pa.default_memory_pool().release_unused()  # the worker may go on with tasks of another kind
+        give_back()
 
     return source.mapInArrow(run, schema).toDF(*keep, *out.fieldNames())
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from casemesh.llm.common import Scratch, map_texts, stored
+from casemesh.llm.common import Scratch, give_back, map_texts, stored
 from casemesh.llm.components import connected_components
 from casemesh.llm.simhash_golay import BLOCK, _remainders, pick_first, shingle_hashes, signed
 
@@ -37,7 +37,7 @@ SIGNS = [f"f{n}" for n in range(CHECKED // 64)]
 #: Columns the signed shingles are summed into before the random signs.
 SKETCH = 1_024
 #: Sets whose keys are made at once; pairs of one least set that a task compares by their shingles.
-AT_ONCE, SHARE = 8_192, 256
+AT_ONCE, SHARE = 2_048, 256
 
 
 # --- sums and keys --------------------------------------------------------------------------------------------------
@@ -142,6 +142,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 for k in range(0, len(key), 1 << 16):
                     some = slice(k, k + (1 << 16))
                     yield _rows(key[some], s[some], least[some], s[some] == least[some])  # null: to be handed on
+        give_back()
 
     def stars(batches):
         last = None  # key and least set of the row before
@@ -161,6 +162,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             if linked.any():
                 yield _rows(joined[linked], sets[linked], least[linked])
             last = (joined[-1], least[-1])
+        give_back()
 
     rows = nodes.where("codes is not null").select("s", "codes").mapInArrow(keys, "k long, u long, v long")
     placed = rows.repartition(F.when(F.col("v").isNull(), F.xxhash64("k")).otherwise(F.xxhash64("u"))).sortWithinPartitions("k", "u")
@@ -206,6 +208,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scra
             s = [_digest(open_up.decompress(t).decode()) for t in batch.column(1).to_pylist()]
             hit = np.array([a is None or a == b for a, b in zip(batch.column(0).to_pylist(), s, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), batch.column(1)], names=["s", "text"]).filter(pa.array(hit))
+        give_back()
 
     texts = named.select("s", "text").mapInArrow(own, "s long, text binary").groupBy("s").agg(F.first("text").alias("text"))
     texts = scratch.put(texts, "texts")
@@ -229,6 +232,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scra
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs)], names=["u", "v"])
+        give_back()
 
     met = heads.unionByName(members).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
     return met.mapInArrow(compared, "u long, v long")
@@ -290,6 +294,7 @@ def across(members: DataFrame, block: int) -> DataFrame:
                 held.append(batch)
         if held:
             yield from _near(pa.Table.from_batches(held).combine_chunks())
+        give_back()
 
     together = plain.unionByName(dealt).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "s")
     return together.mapInArrow(run, "u long, v long")
