@@ -218,7 +218,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep: list[str] | None = None,
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
         return work
 
-    return map_texts(docs, keep or ["doc_id"], StructType([StructField(name, ArrayType(IntegerType()))]), make)
+    return map_texts(docs, keep or ["doc_id"], StructType([StructField(name, ArrayType(IntegerType()))]), make, encoder=True)
 
 
 class Decoder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -96,11 +97,12 @@ def slices(batch: pa.RecordBatch, column: int):
 
 
 def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Callable[[], Callable],
-              text: str = "text") -> DataFrame:
+              text: str = "text", encoder: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` and those of ``out``, computed from whole texts inside the tasks.
 
     ``make()`` runs once a task and gives a function from a list of texts (null: None) to one list or Arrow array
-    for every field of ``out``. No shuffle; rows that ``docs`` has twice are computed twice.
+    for every field of ``out``. ``encoder`` says that it uses the encoder that the Python worker keeps from task to task; other
+    tasks let go of it first. No shuffle; rows that ``docs`` has twice are computed twice.
     """
     # under plain names, as mapInArrow does not take a column whose name has a dot
     names = [f"_{k}" for k in range(len(keep))]
@@ -111,6 +113,8 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
     places = range(len(keep), len(schema.fields))
 
     def run(batches):
+        if not encoder and sys.modules.pop("_llm_worker", None) is not None:
+            give_back()
         work = make()
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):

@@ -220,7 +220,7 @@ def with_ids(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, nam
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
         return work
 
-    return map_texts(docs, keep or ["doc_id"], out, make)
+    return map_texts(docs, keep or ["doc_id"], out, make, encoder=True)
 
 
 def encoder_of_worker(text: str, kind: type[Encoder] = Encoder) -> Encoder:

@@ -309,7 +309,7 @@ def align_texts(docs: DataFrame, a: str, b: bytes, keep: list[str] | None = None
 
     out = StructType([*_OWN, StructField("groups_sha256", StringType()), StructField("pairs", BinaryType())])
     names = [own_name() for _ in keep]
-    aligned = map_texts(docs, keep, out, make).toDF(*names, *out.fieldNames())
+    aligned = map_texts(docs, keep, out, make, encoder=True).toDF(*names, *out.fieldNames())
     # texts are encoded once; their pairs are kept packed until all are counted
     aligned = stored(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = stored(with_best(stored(pair_counts(aligned), "pair-counts"), size_b), "linked-pairs")
