@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cache
+
+# --- Fixed values: character classes -----------------------------------------------------
+DIGIT = r"\p{Nd}"
+WORD = r"[\p{L}\p{N}_]"
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+DEVANAGARI = "ऀ-ॿ"
+DEVANAGARI_LETTER = "ऀ-॥॰-ॿ"
+
+#: A word edge before something that is a word character itself, and any word edge.
+EDGE_BEFORE_WORD, EDGE = rf"(?<!{WORD})", rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+_SURE_WORD = re.compile(r"(?:\(\?:|\()*(?:\[[A-Za-z0-9\\-]+\]|\\p\{Nd\}|[A-Za-z0-9])")
+
+
+@cache
+def spelled(regex: str) -> str:
+    """``regex`` for Java with white space and word edges of every script, where it has them for ASCII alone.
+
+    White space is what ``str.isspace`` accepts, a word character a letter, number or underscore.
+    """
+    def one(part: re.Match) -> str:
+        token = part.group(0)
+        if token.startswith("["):
+            return token if token == r"[\s\S]" else token.replace(r"\s", SPACE[1:-1])
+        if token == r"\b":
+            return EDGE_BEFORE_WORD if _SURE_WORD.match(regex, part.end()) else EDGE
+        return SPACE if token == r"\s" else token
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", one, regex)
 
 
 @dataclass(frozen=True)
 class Recognizer:
     """One row of the registry.
 
-    ``regex`` is written for Java. With ``tail_group`` the span is capture group 1, which must end the match.
+    ``regex`` is as printed; ``java`` spells it out for texts of every script. With ``tail_group`` the span is capture group 1, which must end the match.
     ``needs`` is a literal every match contains; texts without it are skipped. ``sql_regex`` is the spelling
     for engines without look-around, where it differs.
     """
@@ -21,13 +51,10 @@ class Recognizer:
     needs: str | None = None
     sql_regex: str | None = None
 
+    @property
+    def java(self) -> str:
+        return spelled(self.regex)
 
-# --- Fixed values: character classes -----------------------------------------------------
-DIGIT = r"\p{Nd}"
-WORD = r"[\p{L}\p{N}_]"
-SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
-DEVANAGARI = "ऀ-ॿ"
-DEVANAGARI_LETTER = "ऀ-॥॰-ॿ"
 
 # --- Fixed values: personal-data patterns --------------------------------------------------
 PHONE_ANYWHERE = (
@@ -191,4 +218,13 @@ TEMPLATES = (
     ("UP Police FIR", ("UTTAR PRADESH",), ("उत्तर प्रदेश", "मु.अ.सं", "मु०अ०सं०", "जनपद")),
 )
 DEFAULT_TEMPLATE = "Standard Indian Police FIR"
+
+(STATUTE_CITATION, FORM_CAPTION, HONORIFIC_BEFORE, GLOSS, TIME_VALUE, REGISTRATION_ROW, AFTER_REGISTRATION, OCCURRENCE_TIME,
+ LABELLED_TIME, SECTION_NUMBER, HEADED_SECTION, FIR_NUMBER, DISTRICT, POLICE_STATION, YEAR, DATE, INFORMATION_TYPE,
+ COMPLAINANT, COMPLAINANT_CAPTION, ADDRESS, PLACE_HINDI, PLACE_ENGLISH, PLACE_CAPTION, INCIDENT_HINDI,
+ INCIDENT_PROPERTY) = map(spelled, (
+     STATUTE_CITATION, FORM_CAPTION, HONORIFIC_BEFORE, GLOSS, TIME_VALUE, REGISTRATION_ROW, AFTER_REGISTRATION, OCCURRENCE_TIME,
+     LABELLED_TIME, SECTION_NUMBER, HEADED_SECTION, FIR_NUMBER, DISTRICT, POLICE_STATION, YEAR, DATE, INFORMATION_TYPE,
+     COMPLAINANT, COMPLAINANT_CAPTION, ADDRESS, PLACE_HINDI, PLACE_ENGLISH, PLACE_CAPTION, INCIDENT_HINDI, INCIDENT_PROPERTY))
+ACTS = tuple((name, spelled(rx)) for name, rx in ACTS)
 DEVANAGARI_DIGITS, ASCII_DIGITS = "०१२३४५६७८९", "0123456789"

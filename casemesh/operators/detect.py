@@ -20,13 +20,13 @@ def _no_spans() -> Column:
 
 def _pieces(text: Column, recognizer: P.Recognizer) -> Column:
     """What one recognizer finds: the matches, the text between them and the part of each match to keep."""
-    regex = F.lit(recognizer.regex)
+    regex = F.lit(recognizer.java)
     hits = F.regexp_extract_all(text, regex, F.lit(0))
     kept = F.regexp_extract_all(text, regex, F.lit(1)) if recognizer.tail_group else hits
     found = F.struct(
         F.lit(recognizer.entity_type).alias("kind"), F.lit(recognizer.confidence).alias("confidence"),
-        F.arrays_zip(F.split(text, recognizer.regex, -1).alias("gap"), hits.alias("hit"), kept.alias("kept")).alias("parts"))
-    present = text.rlike(recognizer.regex)
+        F.arrays_zip(F.split(text, recognizer.java, -1).alias("gap"), hits.alias("hit"), kept.alias("kept")).alias("parts"))
+    present = text.rlike(recognizer.java)
     return F.when(text.contains(recognizer.needs) & present if recognizer.needs else present, found)
 
 

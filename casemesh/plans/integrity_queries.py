@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casemesh import constants as K
+from casemesh.operators import anchor as N
 from casemesh.operators import audit as U
 from casemesh.operators import cases as C
 from casemesh.operators import machine, rate
 from casemesh.plans.registry import query
+from casemesh.session import shared_dir
 
 BITS = 6  # sealed in chains of 64 rows, so that the compared SQL recurses 64 times
 
@@ -90,6 +94,57 @@ def _(m):
     return U.check_anchor(_tampered(m), U.chain_heads(_sealed(m)))
 
 
+# A log of which some chains were dropped or sealed anew together with their stored heads.
+LEAF = "sha256(concat_ws('|', 'head', chain, first_seq, last_seq, rows, head_hash))"
+HEADS = f"""{SEALED}, heads AS (SELECT chain, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS rows,
+  arg_max(row_hash, seq) AS head_hash FROM s GROUP BY chain)"""
+
+
+def _level(number: int) -> str:
+    return (f"l{number} AS (SELECT node >> 4 AS node, sha256(concat('node|', string_agg(concat(node, ':', digest), '|' ORDER BY node))) "
+            f"AS digest FROM l{number - 1} WHERE (SELECT max(node) FROM l{number - 1}) > 0 GROUP BY 1)")
+
+
+TREE = f"{HEADS}, l0 AS (SELECT chain AS node, {LEAF} AS digest FROM heads), " + ", ".join(map(_level, range(1, 6)))
+
+
+def _heads(m):
+    """Heads as a job keeps them: stored, apart from the log."""
+    path = f"{shared_dir(m.spark)}/heads/{uuid.uuid4().hex}"
+    U.chain_heads(_sealed(m)).write.parquet(path)
+    return m.spark.read.parquet(path)
+
+
+@query("audit_hash_tree", f"WITH {TREE} " + " UNION ALL ".join(
+    f"SELECT CAST({n} AS INT) AS level, node, digest FROM l{n}" for n in range(6)))
+def _(m):
+    return N.hash_tree(_heads(m))
+
+
+@query("audit_anchor_rewritten", f"""
+WITH {HEADS} SELECT chain, CASE chain % 5 WHEN 1 THEN 'chain_missing' WHEN 2 THEN 'head_differs' ELSE 'ok' END AS state,
+  true AS root_holds FROM heads""")
+def _(m):
+    """Chains dropped or rewritten with their heads pass ``check_anchor`` and show against the tree."""
+    heads = _heads(m)
+    tree = N.hash_tree(heads)
+    edited = m.m_audit.filter((F.col("seq") / 2 ** BITS).cast("long") % 5 != 1).withColumn("metadata", F.when(
+        (F.col("seq") / 2 ** BITS).cast("long") % 5 == 2, F.concat("metadata", F.lit(" "))).otherwise(F.col("metadata")))
+    forged = U.chain_heads(U.seal(edited, BITS))
+    return N.check_tree(forged, tree, N.root(tree))
+
+
+@query("audit_heads_proved", f"""
+WITH {HEADS} SELECT chain, chain % 3 <> 0 AS proved FROM heads WHERE chain % 2 = 0""")
+def _(m):
+    """Every second head is proved by its own path; a third of them name another hash."""
+    heads = _heads(m)
+    tree = N.hash_tree(heads)
+    some = heads.filter("chain % 2 = 0")
+    told = some.withColumn("head_hash", F.when(F.col("chain") % 3 == 0, F.reverse("head_hash")).otherwise(F.col("head_hash")))
+    return N.proved(told, N.prove(tree, some), N.root(tree)).select("chain", "proved")
+
+
 @query("audit_slice_links", """
 SELECT case_id, seq, lag(seq) OVER w AS previous_seq, CASE WHEN lag(seq) OVER w IS NULL THEN seq = 1
   ELSE lag(seq) OVER w = seq - 1 END AS linked FROM m_audit WINDOW w AS (PARTITION BY case_id ORDER BY seq)""")
@@ -184,15 +239,16 @@ def _(m):
     return rate.window_counts(m.m_logins, "account", DAY)
 
 
-@query("login_rate_verdicts", f"""
-WITH e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY account ORDER BY seq) AS i FROM m_logins),
+LIVE = f"""e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY account ORDER BY seq) AS i FROM m_logins),
  live AS (SELECT account, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS seq,
      CAST(NULL AS TIMESTAMP) AS ts, false AS allowed, CAST(NULL AS INT) AS retry_after FROM (SELECT DISTINCT account FROM e)
    UNION ALL SELECT account, i, CASE WHEN len(now) >= 3 THEN now WHEN succeeded THEN CAST([] AS BIGINT[])
        ELSE list_append(now, t) END, seq, ts, len(now) < 3,
      CASE WHEN len(now) >= 3 THEN CAST(greatest(1, trunc((now[1] + {DAY}000000 - t) / 1000000.0) + 1) AS INT) END
    FROM (SELECT e.*, list_filter(live.seen, lambda x: x > e.t - {DAY}000000) AS now
-     FROM live JOIN e ON e.account = live.account AND e.i = live.i + 1))
-SELECT account, seq, ts, allowed, retry_after FROM live WHERE i > 0""")
+     FROM live JOIN e ON e.account = live.account AND e.i = live.i + 1))"""
+
+
+@query("login_rate_verdicts", f"WITH {LIVE} SELECT account, seq, ts, allowed, retry_after FROM live WHERE i > 0")
 def _(m):
     return rate.rate_verdicts(m.m_logins, "account", 3, DAY, clears="succeeded")

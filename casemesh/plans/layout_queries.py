@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from casemesh import constants as K
 from casemesh.functions import form_fields as FF
 from casemesh.functions import geometry as G
+from casemesh.functions import patterns as P
 from casemesh.functions import text as X
 from casemesh.operators import layout as L
+from casemesh.plans.listing_queries import quoted
 from casemesh.plans.registry import query
 from casemesh.session import spread
 from casemesh.sources import blobs as B
@@ -47,9 +49,13 @@ def _(m):
     return L.box_pairs(m.m_boxes)
 
 
+DEV = "[ऀ-॥॰-ॿ]"
+
+
 # Suppression by walking each page in rank order; rows by walking the survivors top to bottom.
-NMS = f"""solid AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY doc_id, page
-    ORDER BY confidence DESC, (x2 - x1) * (y2 - y1) DESC, box_no) AS i FROM m_boxes WHERE x2 > x1 AND y2 > y1),
+def nms_sql(boxes: str) -> str:
+    return f"""solid AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY doc_id, page
+    ORDER BY regexp_matches(text, '{DEV}') DESC, confidence DESC, (x2 - x1) * (y2 - y1) DESC, box_no) AS i FROM {boxes} WHERE x2 > x1 AND y2 > y1),
  walk AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(a INT, b INT, c INT, d INT)[]) AS kept,
      false AS free, 0 AS box_no FROM (SELECT DISTINCT doc_id, page FROM solid)
    UNION ALL SELECT doc_id, page, i, CASE WHEN free THEN list_append(kept, {{'a': x1, 'b': y1, 'c': x2, 'd': y2}}) ELSE kept END,
@@ -62,7 +68,10 @@ NMS = f"""solid AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (
          / s.area > {K.NMS_CONTAINMENT})) = 0 AS free
      FROM walk w JOIN solid s ON s.doc_id = w.doc_id AND s.page = w.page AND s.i = w.i + 1)),
  nms AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY w.i) AS INT) AS rank
-   FROM m_boxes b JOIN walk w USING (doc_id, page, box_no) WHERE w.free)"""
+   FROM {boxes} b JOIN walk w USING (doc_id, page, box_no) WHERE w.free)"""
+
+
+NMS = nms_sql("m_boxes")
 
 
 @query("boxes_suppressed", f"WITH {NMS} SELECT * FROM nms")
@@ -85,7 +94,8 @@ def _(m):
     return L.drop_fragments(m.m_boxes)
 
 
-ROWS = f"""{NMS}, clean AS ({fragments("nms")}),
+def rows_sql(boxes: str) -> str:
+    return f"""{nms_sql(boxes)}, clean AS ({fragments("nms")}),
  sorted AS (SELECT *, (y1 + y2) / 2.0 AS cy, row_number() OVER (PARTITION BY doc_id, page
      ORDER BY (y1 + y2) / 2.0, x1, rank) AS i FROM clean),
  grow AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s DOUBLE, n INT)[]) AS rs, CAST(0 AS BIGINT) AS hit,
@@ -106,6 +116,9 @@ ROWS = f"""{NMS}, clean AS ({fragments("nms")}),
        ORDER BY x1, cy, rank) AS text FROM joined GROUP BY 1, 2, 3, 4)"""
 
 
+ROWS = rows_sql("m_boxes")
+
+
 @query("layout_rows", f"""WITH {ROWS} SELECT doc_id, page, box_no, row_index, center_y FROM cells""")
 def _(m):
     kept = L.drop_fragments(L.nms(m.m_boxes))
@@ -117,18 +130,28 @@ def _(m):
     return L.page_rows(m.m_boxes)
 
 
+# Every fourth document has a further page on which nothing was recognised.
+LISTED = """listed AS (SELECT DISTINCT doc_id, page FROM m_boxes
+   UNION SELECT DISTINCT doc_id, 99 FROM m_boxes WHERE doc_id % 4 = 0),
+ pg AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY row_index) AS text, count(*) AS row_count,
+    sum(cells) AS token_count FROM lines GROUP BY 1, 2)"""
+
+
+def _listed(m):
+    blank = m.m_boxes.filter("doc_id % 4 = 0").select("doc_id", F.lit(99).alias("page"))
+    return m.m_boxes.select("doc_id", "page").unionByName(blank)
+
+
 @query("layout_documents", f"""
-WITH {ROWS}, pg AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY row_index) AS text, count(*) AS row_count,
-    sum(cells) AS token_count FROM lines GROUP BY 1, 2)
-SELECT doc_id, string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page) AS text,
-  CAST(sum(row_count) AS BIGINT) AS row_count, CAST(sum(token_count) AS BIGINT) AS token_count, count(*) AS page_count
-FROM pg GROUP BY doc_id""")
+WITH {ROWS}, {LISTED}
+SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page), '') AS text,
+  CAST(coalesce(sum(row_count), 0) AS BIGINT) AS row_count, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS token_count,
+  count(*) AS page_count FROM listed LEFT JOIN pg USING (doc_id, page) GROUP BY doc_id""")
 def _(m):
-    docs = L.assemble_document(L.reconstruct(m.m_boxes))
+    docs = L.assemble_document(L.reconstruct(m.m_boxes, listed=_listed(m)))
     return docs.select("doc_id", "text", "row_count", "token_count", "page_count")
 
 
-DEV = "[ऀ-॥॰-ॿ]"
 WORD_KIND = f"""SELECT *, CASE WHEN confidence >= 0.5 THEN 'trusted' WHEN confidence >= 0.2 AND
     regexp_matches(text, '[()]') THEN 'gloss' ELSE 'weak' END AS kind
   FROM (SELECT *, length(text) - length(regexp_replace(text, '{DEV}', '', 'g')) AS dev,
@@ -148,19 +171,96 @@ def _(m):
     return L.is_bilingual(L.select_words(m.m_script_boxes))
 
 
-@query("readings_fused")
+# Gloss repair by walking each page's boxes with brackets, which take words; then every box with the words it had left.
+BRACKET = r"\([^()]*\)"
+UNDER = "list_filter({l}, lambda x: least(x.b, {k}.g2) - greatest(x.a, {k}.g1) > 0.5 * (x.b - x.a))"
+
+
+def _covered(words: str, left: str, right: str) -> str:
+    """Share of a stretch under words sorted by their starts: each adds what reaches beyond all before it."""
+    return (f"(coalesce(list_sum(list_transform({words}, lambda x, i: greatest(0, least(x.b, {right}) - greatest(x.a, {left}, "
+            f"coalesce(list_max(list_transform(({words})[1:i - 1], lambda y: y.b)), -1e9))))), 0) / ({right} - {left}))")
+
+
+def glosses_sql(boxes: str) -> str:
+    under = UNDER.format
+    taking = (f"NOT k.dev AND len({under(l='free', k='k')}) > 0 AND {_covered('free', 'k.g1', 'k.g2')} >= 0.6::DOUBLE")
+    whole = f"confidence < 0.85 AND len(ws) > 0 AND {_covered('free', 'x1', 'x2')} >= 0.6::DOUBLE"
+    nearby = under(l="list_filter(ws, lambda x: NOT x.s OR list_contains(list_transform(free, lambda f: f.w), x.w))", k="k")
+    return f"""words AS ({WORD_KIND}),
+ near AS (SELECT l.doc_id, l.page, l.box_no, list({{'w': w.box_no, 'a': w.x1, 'b': w.x2, 't': w.text, 's': w.confidence >= 0.5}}
+     ORDER BY w.x1, w.box_no) AS ws FROM {boxes} l JOIN words w ON w.doc_id = l.doc_id AND w.page = l.page
+     AND least(l.y2, w.y2) - greatest(l.y1, w.y1) > 0.5 * least(l.y2 - l.y1, w.y2 - w.y1) WHERE l.x2 > l.x1 GROUP BY ALL),
+ cut AS (SELECT *, regexp_extract_all(text, '{BRACKET}') AS ms, string_split_regex(text, '{BRACKET}') AS ps FROM {boxes}),
+ box AS (SELECT c.*, coalesce(ws, []) AS ws, list_transform(range(1, len(ms) + 1), lambda i: {{
+     'g1': x1 + (x2 - x1) * (list_sum(list_transform(ps[1:i], lambda p: length(p)))
+       + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0)) / length(text)::DOUBLE,
+     'g2': x1 + (x2 - x1) * (list_sum(list_transform(ps[1:i], lambda p: length(p)))
+       + list_sum(list_transform(ms[1:i], lambda p: length(p)))) / length(text)::DOUBLE,
+     'dev': regexp_matches(ms[i], '{DEV}')}}) AS ks FROM cut c LEFT JOIN near USING (doc_id, page, box_no)),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY box_no) AS n FROM box WHERE len(ks) > 0 AND len(ws) > 0),
+ taking AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(w INT, b INT)[]) AS taken
+     FROM (SELECT DISTINCT doc_id, page FROM turns)
+   UNION ALL SELECT doc_id, page, n, CASE WHEN {whole} THEN taken ELSE list_concat(taken, flatten(list_transform(
+       list_filter(ks, lambda k: {taking}),
+       lambda k: list_transform({under(l='free', k='k')}, lambda f: {{'w': f.w, 'b': box_no}})))) END
+   FROM (SELECT t.*, k.taken, list_filter(t.ws, lambda x: x.s AND NOT list_contains(list_transform(k.taken, lambda t: t.w), x.w)) AS free
+     FROM taking k JOIN turns t ON t.doc_id = k.doc_id AND t.page = k.page AND t.n = k.n + 1)),
+ ends AS (SELECT doc_id, page, arg_max(taken, n) AS taken FROM taking GROUP BY 1, 2),
+ left_free AS (SELECT b.*, list_filter(ws, lambda x: x.s AND NOT list_contains(list_transform(list_filter(coalesce(e.taken, []),
+     lambda t: t.b < box_no), lambda t: t.w), x.w)) AS free FROM box b LEFT JOIN ends e USING (doc_id, page)),
+ judged AS (SELECT *, {whole} AS whole FROM left_free),
+ brackets AS (SELECT doc_id, page, box_no, free, ws, ms, unnest(ks) AS k, unnest(range(1, len(ks) + 1)) AS i FROM judged WHERE NOT whole),
+ said AS (SELECT doc_id, page, box_no, i, ms[i] AS old, {taking} AS filled, len(list_filter({nearby}, lambda x: starts_with(ltrim(x.t), '('))) > 0
+     AND NOT k.dev AND {_covered(nearby, 'k.g1', 'k.g2')} >= 0.6::DOUBLE AS gone, list_filter(list_transform({under(l='free', k='k')},
+     lambda x: trim(replace(replace(x.t, '(', ''), ')', ''), ' :')), lambda y: y <> '') AS told FROM brackets),
+ put AS (SELECT doc_id, page, box_no, list(CASE WHEN filled THEN concat('(', array_to_string(list_filter(told,
+     lambda y, j: j = 1 OR y <> told[j - 1]), ' '), ')') WHEN gone THEN '' ELSE old END ORDER BY i) AS new FROM said GROUP BY ALL),
+ texts AS (SELECT j.*, new, array_to_string(list_transform(ps, lambda p, i: concat(p, new[i])), '') AS made FROM judged j
+   LEFT JOIN put USING (doc_id, page, box_no) WHERE NOT whole),
+ kept AS (SELECT 'latin' AS engine, doc_id, page, box_no, CASE WHEN new IS NULL OR made = text THEN text ELSE trim(regexp_replace(
+     regexp_replace(made, '\\s{{2,}}', ' ', 'g'), '\\s+([:.,])', '\\1', 'g')) END AS text, confidence, x1, y1, x2, y2,
+     len(list_filter(ws, lambda x: NOT x.s)) + len(free) > 0 AS met FROM texts),
+ latin AS (SELECT * EXCLUDE (met) FROM kept WHERE NOT met OR length(trim(text, '.,:;()[]|- ')) > 0),
+ glossed AS (SELECT * FROM latin UNION ALL
+   SELECT 'script', doc_id, page, box_no, text, confidence, x1, y1, x2, y2 FROM words w LEFT JOIN ends e USING (doc_id, page)
+   WHERE confidence >= 0.5 AND NOT list_contains(list_transform(coalesce(e.taken, []), lambda t: t.w), box_no)
+     AND NOT EXISTS (SELECT 1 FROM latin b WHERE b.doc_id = w.doc_id AND b.page = w.page AND b.confidence >= 0.85
+       AND greatest(0, least(b.x2, w.x2) - greatest(b.x1, w.x1)) * greatest(0, least(b.y2, w.y2) - greatest(b.y1, w.y1))
+         / ((w.x2 - w.x1) * (w.y2 - w.y1))::DOUBLE >= 0.6::DOUBLE))"""
+
+
+@query("glosses_repaired", f"WITH {glosses_sql('m_boxes')} SELECT * FROM glossed")
 def _(m):
-    return L.fuse(m.m_boxes, m.m_script_boxes)
+    return L.repair_glosses(m.m_boxes, L.select_words(m.m_script_boxes))
+
 
+BILINGUAL = f"bilingual AS (SELECT doc_id, page FROM ({WORD_KIND}) WHERE kind = 'trusted' GROUP BY 1, 2 HAVING count(*) >= {K.BILINGUAL_WORDS})"
+FUSED = f"""{BILINGUAL}, here AS (SELECT b.* FROM m_boxes b JOIN bilingual USING (doc_id, page)), {glosses_sql('here')},
+ fused AS (SELECT b.* FROM m_boxes b LEFT JOIN bilingual p USING (doc_id, page) WHERE p.doc_id IS NULL
+   UNION ALL SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page
+     ORDER BY CASE engine WHEN 'latin' THEN 0 WHEN 'script' THEN 1 ELSE 2 END, box_no, x1, y1, text) AS INT), text, confidence, x1, y1, x2, y2
+   FROM (SELECT g.* FROM glossed g JOIN bilingual USING (doc_id, page) UNION ALL SELECT 'gloss', doc_id, page, box_no, text, confidence,
+     x1, y1, x2, y2 FROM words JOIN bilingual USING (doc_id, page) WHERE kind = 'gloss'))"""
 
-@query("glosses_repaired")
+
+@query("readings_fused", f"WITH {FUSED} SELECT * FROM fused")
 def _(m):
-    return L.repair_glosses(m.m_boxes, L.select_words(m.m_script_boxes))
+    return L.fuse(m.m_boxes, m.m_script_boxes)
+
+
+TEMPLATE = "CASE " + " ".join(
+    f"WHEN {' OR '.join([*(f'contains(upper(text), {quoted([t])})' for t in upper), *(f'contains(text, {quoted([t])})' for t in printed)])} "
+    f"THEN {quoted([name])}" for name, upper, printed in P.TEMPLATES) + f" ELSE {quoted([P.DEFAULT_TEMPLATE])} END"
 
 
-@query("pages_reconstructed")
+@query("pages_reconstructed", f"""
+WITH {FUSED}, {rows_sql("fused")}, {LISTED}
+SELECT *, {TEMPLATE} AS template FROM (SELECT doc_id, page, coalesce(text, '') AS text, CAST(coalesce(row_count, 0) AS BIGINT) AS row_count,
+  CAST(coalesce(token_count, 0) AS BIGINT) AS token_count FROM listed LEFT JOIN pg USING (doc_id, page))""")
 def _(m):
-    return L.reconstruct(m.m_boxes, m.m_script_boxes).select("doc_id", "page", "text", "row_count", "token_count", "template")
+    pages = L.reconstruct(m.m_boxes, m.m_script_boxes, _listed(m))
+    return pages.select("doc_id", "page", "text", "row_count", "token_count", "template")
 
 
 # --- form fields --------------------------------------------------------------------------------

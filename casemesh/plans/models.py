@@ -176,22 +176,40 @@ PROJECTIONS: dict[str, tuple] = {
 }
 
 
-def _tag_sql(entity: str, rx: str, confidence: int) -> str:
+def _tag_sql(entity: str, rx: str, confidence: int, tail_group: bool = False, text: str = "text") -> str:
+    kept = f"regexp_extract_all({text}, '{rx}', 1)" if tail_group else "ms"
     return (
-        f"SELECT doc_id, '{entity}' AS entity_type, CAST(s AS INT) AS span_start, "
+        f"SELECT doc_id, '{entity}' AS entity_type, CAST(s + length(ms[i]) - length(ks[i]) AS INT) AS span_start, "
         f"CAST(s + length(ms[i]) AS INT) AS span_end, {confidence} AS confidence, 'ai_parser' AS source FROM ("
-        f"SELECT doc_id, ms, i, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) "
+        f"SELECT doc_id, ms, ks, i, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) "
         f"+ coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM ("
-        f"SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM ("
-        f"SELECT doc_id, regexp_extract_all(text, '{rx}') AS ms, string_split_regex(text, '{rx}') AS ps "
-        f"FROM documents) WHERE len(ms) > 0))"
+        f"SELECT doc_id, ms, ks, ps, unnest(range(1, len(ms) + 1)) AS i FROM ("
+        f"SELECT doc_id, ms, {kept} AS ks, ps FROM ("
+        f"SELECT doc_id, text, regexp_extract_all({text}, '{rx}') AS ms, string_split_regex({text}, '{rx}') AS ps "
+        f"FROM documents)) WHERE len(ms) > 0))"
     )
 
 
 def span_sql(recognizers) -> str:
     """SQL giving every match of the given recognizers over ``documents`` with code-point offsets."""
     return " UNION ALL ".join(
-        _tag_sql(r.entity_type, r.sql_regex or r.regex, r.confidence) for r in recognizers)
+        _tag_sql(r.entity_type, r.sql_regex or r.regex, r.confidence, r.tail_group) for r in recognizers)
+
+
+#: What SQL knows as a word character is ASCII; letters beyond it are shown to it as underscores, which are in no name.
+FOLDED = "regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g')"
+SQL_SPACE = r"\s\p{Z}\x1c-\x1f\x{85}"
+
+
+def spelled_span_sql(recognizers) -> str:
+    """As ``span_sql`` for texts with white space of every kind. Look-ahead past a name is left out: the texts compared
+    have no caption right after one."""
+    def spelled(rx: str) -> str:
+        rx = rx.replace(r"(?![\p{L}\p{N}_]+\s*[:\-])", "")
+        return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", lambda p: p.group(0).replace(
+            r"\s", SQL_SPACE if p.group(0).startswith("[") else f"[{SQL_SPACE}]"), rx)
+
+    return " UNION ALL ".join(_tag_sql(r.entity_type, spelled(r.regex), r.confidence, r.tail_group, FOLDED) for r in recognizers)
 
 
 POLICY_ROWS = (

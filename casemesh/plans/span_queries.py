@@ -12,18 +12,27 @@ from casemesh.functions import patterns as P
 from casemesh.functions import text as X
 from casemesh.operators import detect, redact, spans
 from casemesh.plans.listing_queries import quoted
-from casemesh.plans.models import span_sql
+from casemesh.plans.models import span_sql, spelled_span_sql
 from casemesh.plans.registry import query
 from casemesh.session import spread
 
 ROLES_SHOWN = ("defense", "duty_officer", "cyber_cell", "court", "records_ncrb_analyst")
-PORTABLE = (P.AADHAAR, P.PAN, P.PAN_CONFUSED, P.PHONE_AS_PRINTED, P.EMAIL, P.MEDICAL)
 
 
-@query("detected_entities", f"SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({span_sql(PORTABLE)})")
+# Every eighth document starts with one of these, their words apart by white space beyond ASCII.
+PLANTED = "concat(CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate((
+    "call +91\u00a098765\u00a043210 or 98765\u200943210. ", "Accused: Mr\u00a0Rajesh\u2003Kumar 12. ", "son\u00a0of: Ram\u202fPrasad 7. ",
+    "a stab\u00a0wound, head\u2009injury, éfracture. ", "named\u00a0Sunita\u3000Rao 3. ", "PAN ABCDE1234F, ABCDE 12O4 F, éABCDE1234F; ",
+    "id 2345 6789 0123, a.b@c.example, é2345 6789 0123. "))) + " ELSE '' END, text)"
+SPELLED = tuple(P.PHONE_AS_PRINTED if r is P.PHONE else r for r in P.LEGAL_RECOGNIZERS)
+
+
+@query("detected_entities", f"""
+WITH documents AS (SELECT doc_id, {PLANTED} AS text FROM documents)
+SELECT doc_id, entity_type, span_start, span_end, confidence FROM ({spelled_span_sql(SPELLED)})""")
 def _(m):
-    found = detect.detect_entities(spread(m.documents.select("doc_id", "text")), "text", PORTABLE)
-    return detect.explode_spans(found, "doc_id")
+    docs = m.documents.selectExpr("doc_id", f"{PLANTED} AS text")
+    return detect.explode_spans(detect.detect_entities(docs, "text", SPELLED), "doc_id")
 
 
 @query("detected_listed_entities",

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from casemesh.plans.access_queries import SUBMISSIONS_WRITE_ONCE
-from casemesh.plans.integrity_queries import BAIL
+from casemesh.plans.integrity_queries import BAIL, LIVE
+from casemesh.plans.layout_queries import LISTED, ROWS
 from casemesh.plans.registry import query
 from casemesh.session import shared_dir
 from casemesh.sources.tables import SUPPLIED
@@ -35,6 +36,44 @@ def _store(m, df):
     return m.spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def _in_parts(m, df, part, start) -> None:
+    """Run ``start(stream)`` once for each value of ``part``, with that part's rows as new files of the stream."""
+    path = f"{_folder(m)}/in"
+    for number in range(PARTS):
+        df.filter(part == number).write.mode("append").parquet(path)
+        _run(start(m.spark.readStream.schema(df.schema).parquet(path)))
+
+
+def _store_parts(m, df, part, make):
+    """As ``_store`` for a stream whose rows come in parts."""
+    J.use_keyed_state(m.spark)
+    base = _folder(m)
+    schemas = []
+
+    def start(stream):
+        made = make(stream)
+        schemas.append(made.schema)
+        return made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+
+    _in_parts(m, df, part, start)
+    return m.spark.read.schema(schemas[0]).parquet(f"{base}/out")
+
+
+PARTS = 3
+#: The part an event comes in: by its day, but up to a day sooner or later than its turn.
+COMES = (f"CASE WHEN event_id IS NULL THEN {PARTS - 1} ELSE least({PARTS - 1}, greatest(0, floor("
+         "(unix_seconds(ts) / 3600 - 473352 + (event_id * 37) % 48 - 24) / 240))) END")
+LATENESS = "49 hours"
+
+
+def _tick(rows):
+    """One row far behind all others in event time, of key -1, so that the watermark passes them all."""
+    last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    rest = [F.lit(-1 if f.name in ("account", "doc_id", "seq") else None).cast(f.dataType).alias(f.name)
+            for f in rows.schema if f.name != "ts"]
+    return last.select("ts", *rest).select(rows.columns)
+
+
 @query("ledger_stream", SUBMISSIONS_WRITE_ONCE)
 def _(m):
     subs = _stream(m, "events").select(
@@ -98,3 +137,92 @@ def _(m):
         F.when(error, F.sha2(F.lit("?"), 256)).otherwise(F.sha2("props", 256)).alias("payload_hash"),
         F.col("ts").alias("device_at"))
     return J.replay(actions.unionByName(actions))
+
+
+# --- streams in event order, their rows up to two days out of order over three batches ----------------
+
+@query("login_rate_stream", f"""
+WITH {LIVE} SELECT account AS key, seq, allowed, retry_after FROM live WHERE i > 0""")
+def _(m):
+    logins = m.m_logins.withColumn("event_id", F.col("seq"))
+    rows = logins.unionByName(_tick(logins))
+    kept = _store_parts(m, rows, F.expr(COMES), lambda s: J.ordered_rate_stream(
+        s, "account", 3, 86400, clears="succeeded", lateness=LATENESS))
+    return kept.filter("key >= 0")
+
+
+@query("stuck_stream", """
+SELECT user_id AS doc_id, epoch_us(ts) // 1000 + 21600000 AS due_ms FROM (SELECT user_id, ts, event_type,
+  lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+WHERE event_type IN ('view', 'purchase') AND (next IS NULL OR epoch_us(next) // 1000 > epoch_us(ts) // 1000 + 21600000)""")
+def _(m):
+    """Documents six hours in processing without another change of status."""
+    status = F.when(F.col("event_type").isin("view", "purchase"), "processing").otherwise("ready")
+    changes = m.events.select("event_id", F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"))
+    rows = changes.unionByName(_tick(changes))
+    kept = _store_parts(m, rows, F.expr(COMES),
+                        lambda s: J.stuck_in_event_time(s, 21_600_000, lateness=LATENESS))
+    return kept.filter("doc_id >= 0")
+
+
+@query("deliveries_once", """
+SELECT concat(user_id, ':', event_type) AS idempotency_key, count(*) AS deliveries, 1 AS kept FROM events
+WHERE event_id % 10 < 3 GROUP BY 1""")
+def _(m):
+    """Every delivery arrives three times, in three batches; keys are forgotten once the horizon has passed."""
+    key = F.concat("user_id", F.lit(":"), "event_type", F.lit(":"), "event_id")
+    events = m.events.filter("event_id % 10 < 3").select("ts", key.alias("idempotency_key"))
+    again = events.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    once = _store_parts(m, again, F.col("part"), lambda s: J.once_per_delivery(s, event_time="ts", horizon="60 days"))
+    counted = once.groupBy("idempotency_key").agg(F.count("*").alias("n"))
+    short = F.regexp_extract("idempotency_key", "^(.*):[^:]*$", 1)
+    return counted.groupBy(short.alias("idempotency_key")).agg(
+        F.count("*").alias("deliveries"), F.max("n").cast("int").alias("kept"))
+
+
+@query("page_stream", f"""
+WITH {ROWS}, {LISTED}
+SELECT doc_id, page, coalesce(text, '') AS text, CAST(coalesce(row_count, 0) AS BIGINT) AS row_count,
+  CAST(coalesce(token_count, 0) AS BIGINT) AS token_count, true AS complete FROM listed LEFT JOIN pg USING (doc_id, page)""")
+def _(m):
+    """Every page's boxes come in three batches; a blank page is announced without any."""
+    boxes = m.m_boxes
+    counted = boxes.join(boxes.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("page_boxes")), ["doc_id", "page"])
+    blank = boxes.filter("doc_id % 4 = 0").select("doc_id", F.lit(99).alias("page"), F.lit(0).alias("page_boxes")).distinct()
+    rows = counted.unionByName(blank, allowMissingColumns=True).withColumn("part", F.coalesce(F.col("box_no") % PARTS, F.lit(0)))
+    rows = rows.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("part")))
+    base = _folder(m)
+    J.use_keyed_state(m.spark)
+    _in_parts(m, rows, F.col("part"), lambda s: J.layout_stream(s, f"{base}/out", f"{base}/state"))
+    return m.spark.read.parquet(f"{base}/out").select("doc_id", "page", "text", "row_count", "token_count", "complete")
+
+
+@query("replay_stream", """
+WITH a AS (SELECT user_id AS device, event_id AS local_seq, sha256(props) AS good, event_type FROM events)
+SELECT device, local_seq, CASE WHEN event_type = 'error' THEN sha256('?') ELSE good END AS payload_hash,
+  CASE WHEN event_type = 'error' THEN 'tampered' ELSE 'accepted' END AS verdict,
+  row_number() OVER (PARTITION BY device ORDER BY local_seq) AS position FROM a
+UNION ALL SELECT device, local_seq, sha256(concat('other ', local_seq)), 'conflict', NULL FROM a WHERE local_seq % 9 = 0""")
+def _(m):
+    """Three batches by number; the later ones deliver the earlier again, some under another fingerprint."""
+    error = F.col("event_type") == "error"
+    first = m.events.select(
+        F.col("user_id").alias("device"), F.col("event_id").alias("local_seq"), F.col("props").alias("payload"),
+        F.when(error, F.sha2(F.lit("?"), 256)).otherwise(F.sha2("props", 256)).alias("payload_hash"),
+        F.col("ts").alias("received_at"), F.expr(f"least({PARTS - 1}, floor(day(ts) / 11))").alias("part"))
+    later = F.col("received_at") + F.expr("INTERVAL 60 DAYS")
+    again = first.withColumn("received_at", later).withColumn("part", F.explode(F.sequence(F.col("part"), F.lit(PARTS - 1))))
+    other = first.filter("local_seq % 9 = 0").withColumn("received_at", later).withColumn("part", F.lit(PARTS - 1)).withColumn(
+        "payload_hash", F.sha2(F.concat(F.lit("other "), "local_seq"), 256))
+    return _store_parts(m, first.unionByName(again).unionByName(other), F.col("part"), lambda s: J.continued_replay(
+        s, lateness="100 days"))
+
+
+@query("replay_conflicts", """
+SELECT user_id AS device, event_id AS local_seq, sha256(concat('other ', event_id)) AS payload_hash FROM events WHERE event_id % 9 = 0""")
+def _(m):
+    first = m.events.select(F.col("user_id").alias("device"), F.col("event_id").alias("local_seq"), F.col("props").alias("payload"),
+                            F.sha2("props", 256).alias("payload_hash"), F.col("ts").alias("received_at"))
+    other = first.filter("local_seq % 9 = 0").withColumn("payload_hash", F.sha2(F.concat(F.lit("other "), "local_seq"), 256))
+    return J.replay_conflicts(first.unionByName(first).unionByName(
+        other.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 DAY"))))

@@ -14,8 +14,11 @@ from casemesh.operators import audit, layout, spans
 from casemesh.operators.listing import idempotency_key
 from casemesh.operators.machine import gate_events
 from casemesh.operators.sequence import number_rows
-from casemesh.streaming.processors import Machine, SlidingLimit, StuckAlert, WriteOnce
+from casemesh.streaming.processors import (Machine, OrderedLimit, PageBoxes, Replay, SlidingLimit, StuckAlert,
+                                            StuckInEventTime, WriteOnce)
 
+#: How long a page's boxes are waited for after the last that came.
+PAGE_PATIENCE_MS = 10 * 60_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -80,6 +83,32 @@ def rate_stream(events: DataFrame, key: str, limit: int, seconds: int, ts: str =
         timeMode="EventTime")
 
 
+def ordered_rate_stream(events: DataFrame, key: str, limit: int, seconds: int, ts: str = "ts", clears: str | None = None,
+                        lateness: str = "10 minutes") -> DataFrame:
+    """``rate_stream`` with rows judged in the order of event time, whatever batch they came in.
+
+    A verdict comes out when the watermark, ``lateness`` behind the latest row, has passed its event; it is then the
+    verdict of ``rate.rate_verdicts`` over all rows.
+    """
+    kt = events.schema[key].dataType.simpleString()
+    slim = events.withWatermark(ts, lateness).select(
+        F.col(key).alias("key"), "seq", ts, F.unix_millis(ts).alias("at_ms"), F.unix_micros(ts).alias("t"),
+        (F.col(clears) if clears else F.lit(False)).alias("clears"))
+    return slim.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=OrderedLimit(limit, seconds),
+        outputStructType=f"key {kt}, seq BIGINT, allowed BOOLEAN, retry_after INT", outputMode="Append", timeMode="EventTime")
+
+
+def stuck_in_event_time(status_changes: DataFrame, after_ms: int = K.STUCK_MINUTES * 60_000, ts: str = "ts",
+                        lateness: str = "10 minutes") -> DataFrame:
+    """Alerts ``(doc_id, due_ms)`` for documents in processing for longer than ``after_ms`` of event time, in event order."""
+    kt = status_changes.schema["doc_id"].dataType.simpleString()
+    slim = status_changes.withWatermark(ts, lateness).select("doc_id", "seq", ts, F.unix_millis(ts).alias("at_ms"), "status")
+    return slim.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=StuckInEventTime(after_ms), outputStructType=f"doc_id {kt}, due_ms BIGINT", outputMode="Append",
+        timeMode="EventTime")
+
+
 def stuck_stream(status_changes: DataFrame, after_ms: int = K.STUCK_MINUTES * 60_000) -> DataFrame:
     """Alerts for documents that stay in processing: input ``(seq, doc_id, status)``."""
     kt = status_changes.schema["doc_id"].dataType.simpleString()
@@ -111,21 +140,52 @@ def ingest_stream(uploads: DataFrame, out: str, checkpoint: str) -> DataStreamWr
     return _job(uploads, checkpoint, write)
 
 
-def layout_stream(boxes: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Box rows to page texts; all boxes of a page arrive in one file, hence in one batch."""
+def whole_pages(boxes: DataFrame, patience_ms: int = PAGE_PATIENCE_MS, at: str = "at") -> DataFrame:
+    """Box rows of pages that are there as a whole, or will not be: all boxes of a page come out in one batch, once.
+
+    Input: box rows with ``page_boxes``, how many boxes their page has, and the event time ``at``. A page that lacks boxes
+    when the watermark is ``patience_ms`` past its last one comes out with ``complete`` false.
+    """
+    kt = boxes.schema["doc_id"].dataType.simpleString()
+    slim = boxes.withWatermark(at, "0 seconds").select(
+        "doc_id", "page", *PageBoxes.COLUMNS, "page_boxes", at, F.unix_millis(at).alias("at_ms"))
+    return slim.groupBy("doc_id", "page").transformWithStateInPandas(
+        statefulProcessor=PageBoxes(patience_ms),
+        outputStructType=f"doc_id {kt}, page INT, {PageBoxes.BOX}, complete BOOLEAN", outputMode="Append", timeMode="EventTime")
+
+
+def layout_stream(boxes: DataFrame, out: str, checkpoint: str, patience_ms: int = PAGE_PATIENCE_MS,
+                  at: str = "at") -> DataStreamWriter:
+    """Box rows to page texts.
+
+    With ``page_boxes`` and an event time, as ``whole_pages`` takes them, each page is written once with ``complete``,
+    however many batches its boxes came in, and a page announced without any box gets an empty text. Without
+    ``page_boxes`` all boxes of a page have to come in one batch.
+    """
+    counted = "page_boxes" in boxes.columns
 
     def write(batch: DataFrame, number: int) -> None:
-        _put(layout.reconstruct(batch), out, number)
+        if not counted:
+            _put(layout.reconstruct(batch), out, number)
+            return
+        # the batch comes out of keyed state, which must be run once: it is stored before it is used twice
+        _put(batch, f"{out}-boxes", number)
+        whole = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}-boxes/batch={number}")
+        listed = whole.groupBy("doc_id", "page").agg(F.bool_and("complete").alias("complete"))
+        pages = layout.reconstruct(whole.filter("box_no IS NOT NULL"), listed=listed)
+        _put(pages.join(listed, ["doc_id", "page"]), out, number)
 
-    return _job(boxes, checkpoint, write)
+    return _job(whole_pages(boxes, patience_ms, at) if counted else boxes, checkpoint, write)
 
 
-def page_tag_stream(pages: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+def page_tag_stream(pages: DataFrame, out: str, checkpoint: str,
+                    recognizers: Iterable[P.Recognizer] = P.DEFAULT_RECOGNIZERS) -> DataStreamWriter:
     """Page texts, as ``layout_stream`` writes them, to spans per page."""
+    recognizers = tuple(recognizers)
 
     def write(batch: DataFrame, number: int) -> None:
         keyed = batch.select(F.struct("doc_id", "page").alias("key"), "text")
-        tags = spans.tag_documents(keyed, "key", "text")
+        tags = spans.tag_documents(keyed, "key", "text", recognizers)
         _put(tags.select("key.*", *(c for c in tags.columns if c != "key")), out, number)
 
     return _job(pages, checkpoint, write)
@@ -143,27 +203,34 @@ def diary_stream(entries: DataFrame, out: str, checkpoint: str,
     return _job(entries, checkpoint, write)
 
 
+TIP = "chain BIGINT, last_seq BIGINT, head_hash STRING"
+
+
 def seal_stream(events: DataFrame, out: str, checkpoint: str, order: str = "event_id", bits: int = audit.SEAL_BITS,
                 content: Callable[[], Column] = audit.canonical) -> DataStreamWriter:
     """Append events to the sealed log under ``out/log``, continuing after the last sealed row.
 
     Batches run one after another, so numbering is serial across batches and parallel within one. A chain left
-    open by the batch before is continued from its head, kept under ``out/heads``.
+    open by the batch before is continued from its head; ``out/heads`` keeps the heads each batch made, ``out/tip`` where
+    the log ended after it, so a batch reads one row of what came before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        heads, last = None, 0
-        if number > 0:
-            known = spark.read.option("basePath", f"{out}/heads").parquet(f"{out}/heads").filter(F.col("batch") < number)
-            latest = known.agg(F.max_by(F.struct("chain", "last_seq", "head_hash"), "last_seq").alias("h")).first()["h"]
-            if latest is not None:
-                last = latest["last_seq"]
-                heads = spark.createDataFrame([(latest["chain"], latest["head_hash"])], "chain BIGINT, head_hash STRING")
+        heads, last, tip = None, 0, None
+        if number > 0:  # the batch before has left where the log ends, also if it was empty
+            tip = spark.read.schema(TIP).parquet(f"{out}/tip/batch={number - 1}").first()
+        if tip is not None:
+            last = tip["last_seq"]
+            heads = spark.createDataFrame([(tip["chain"], tip["head_hash"])], "chain BIGINT, head_hash STRING")
         sealed = audit.seal(audit.assign_seq(batch, last, order), bits, heads, content)
         _put(sealed, f"{out}/log", number)
         stored = spark.read.parquet(f"{out}/log/batch={number}")
         _put(audit.chain_heads(stored), f"{out}/heads", number)
+        ends = spark.read.parquet(f"{out}/heads/batch={number}").select(F.struct("chain", "last_seq", "head_hash").alias("h"))
+        kept = spark.createDataFrame([] if tip is None else [tuple(tip)], TIP).select(F.struct("*").alias("h"))
+        latest = ends.unionByName(kept).agg(F.max_by("h", "h.last_seq").alias("h")).filter("h IS NOT NULL")
+        _put(latest.select("h.*"), f"{out}/tip", number)
 
     return _job(events, checkpoint, write)
 
@@ -185,6 +252,30 @@ def replay(actions: DataFrame) -> DataFrame:
     return number_rows(checked, "local_seq", ["device"], "position").withColumn("source", F.lit("offline_sync"))
 
 
+def replay_conflicts(actions: DataFrame) -> DataFrame:
+    """Deliveries ``(device, local_seq, payload_hash)`` whose payload is not the one that counts under their number."""
+    leading = [c for c in ("received_at", "payload_hash") if c in actions.columns]
+    counts = actions.groupBy("device", "local_seq").agg(F.min(F.struct(*leading))["payload_hash"].alias("counts"))
+    other = actions.select("device", "local_seq", "payload_hash").distinct()
+    return other.join(counts, ["device", "local_seq"]).filter("payload_hash <> counts").drop("counts")
+
+
+def continued_replay(actions: DataFrame, keep_ms: int = 30 * 86_400_000, lateness: str = "1 day") -> DataFrame:
+    """``replay`` over a stream: positions go on from batch to batch, redeliveries are taken once, conflicts are listed.
+
+    Output ``(device, local_seq, payload_hash, verdict, position)``, the verdict accepted, tampered, conflict or late.
+    Fingerprints are kept until ``keep_ms`` after their delivery, by ``received_at``.
+    """
+    kt = actions.schema["device"].dataType.simpleString()
+    slim = actions.withWatermark("received_at", lateness).select(
+        "device", "local_seq", "payload_hash", "received_at", F.unix_millis("received_at").alias("received_ms"),
+        F.sha2("payload", 256).eqNullSafe(F.col("payload_hash")).alias("whole"))
+    return slim.groupBy("device").transformWithStateInPandas(
+        statefulProcessor=Replay(keep_ms),
+        outputStructType=f"device {kt}, local_seq BIGINT, payload_hash STRING, verdict STRING, position BIGINT",
+        outputMode="Append", timeMode="EventTime")
+
+
 def replay_stream(actions: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     """Offline batches as they arrive; positions are per device and batch, ``local_seq`` orders across batches."""
 

@@ -1,4 +1,4 @@
-"""Keyed state for streams: write-once ledger, state machine, sliding limit, stuck documents."""
+"""Keyed state for streams: write-once ledger, state machine, sliding limit, stuck documents, pages, replays."""
 
 from __future__ import annotations
 
@@ -144,3 +144,273 @@ class StuckAlert(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class PageBoxes(StatefulProcessor):
+    """Holds a page's boxes until all of them are there, or until event time has gone ``patience_ms`` past the last.
+
+    Input rows carry ``page_boxes``, the number announced; a page announced with none comes out as a row without a box.
+    A page comes out once, all its boxes together; ``complete`` says whether it has as many as announced. Boxes delivered
+    again count once. What arrives for a page after it came out is dropped; that is remembered for as long again.
+    """
+
+    COLUMNS = ("box_no", "text", "confidence", "x1", "y1", "x2", "y2")
+    KINDS = (int, str, float, int, int, int, int)
+    BOX = "box_no INT, text STRING, confidence DOUBLE, x1 INT, y1 INT, x2 INT, y2 INT"
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.boxes = handle.getListState("boxes", self.BOX)
+        self.page = handle.getValueState("page", "boxes INT, due BIGINT, done BOOLEAN")
+
+    def _out(self, key, boxes: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        out = boxes.sort_values("box_no", kind="stable")
+        out.insert(0, "page", key[1])
+        out.insert(0, "doc_id", key[0])
+        out["complete"] = complete
+        return out
+
+    def _nothing(self) -> pd.DataFrame:
+        return pd.DataFrame([], columns=["doc_id", "page", *self.COLUMNS, "complete"])
+
+    def _held(self) -> list[tuple]:
+        return [tuple(b) for b in self.boxes.get()] if self.boxes.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        held, due, done = self.page.get() if self.page.exists() else (0, None, False)
+        came = pd.concat(list(rows))
+        if done:
+            yield self._nothing()
+            return
+        expected, latest = int(came["page_boxes"].max()), int(came["at_ms"].max()) + self.patience_ms
+        came = came[came["box_no"].notna()]  # a row without one only announces its page
+        # a column of whole numbers comes as floats where a row of the same batch lacks one, and state takes no floats for them
+        listed = [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(self.KINDS, b, strict=True))
+                  for b in came[list(self.COLUMNS)].itertuples(index=False)]
+        new = list({b[0]: b for b in listed}.values())
+        if held + len(new) >= expected:
+            boxes = {b[0]: b for b in [*new, *self._held()]}  # what came first stays
+            if len(boxes) >= expected:
+                self._finish(due, latest)
+                yield self._out(key, self._frame(list(boxes.values())), True)
+                return
+            self.boxes.put(list(boxes.values()))
+            held = len(boxes)
+        elif new:
+            self.boxes.appendList(new)
+            held += len(new)
+        if due is None or latest > due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(latest)
+            due = latest
+        self.page.update((held, due, False))
+        yield self._nothing()
+
+    def _frame(self, boxes: list[tuple]) -> pd.DataFrame:
+        """The boxes, or one row without a box for a page that has none."""
+        frame = pd.DataFrame(boxes or [(None,) * len(self.COLUMNS)], columns=list(self.COLUMNS))
+        return frame.astype({c: "Int32" for c in ("box_no", "x1", "y1", "x2", "y2")})
+
+    def _finish(self, due, latest: int) -> None:
+        """The page is out; remember that until a later timer."""
+        self.boxes.clear()
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(latest)
+        self.page.update((0, latest, True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, due, done = self.page.get() if self.page.exists() else (0, None, True)
+        if done:
+            self.page.clear()
+            yield self._nothing()
+            return
+        boxes = list({b[0]: b for b in reversed(self._held())}.values())
+        self._finish(None, expiredTimerInfo.getExpiryTimeInMs() + self.patience_ms)
+        yield self._out(key, self._frame(boxes), False)
+
+    def close(self) -> None:
+        pass
+
+
+class InEventOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them and hands them to ``judged`` in the order of event time.
+
+    Input rows carry ``seq`` and ``at_ms``; ``HELD`` names the other columns kept. ``COLUMNS`` are those of the output.
+    Rows that came in different batches, late ones too as long as the watermark allows them, are judged as if they had
+    come in order. One timer a key is enough: for its earliest row, or for when ``judged`` wants to be asked again. Keys must
+    not be null: Spark's Python state then belongs to the key before.
+    """
+
+    HELD: tuple[tuple[str, str], ...] = ()
+    COLUMNS: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.names = ["seq", "at_ms", *(n for n, _ in self.HELD)]
+        self.waiting = handle.getListState("waiting", ", ".join(["seq BIGINT", "at_ms BIGINT", *(f"{n} {t}" for n, t in self.HELD)]))
+        self.timer = handle.getValueState("timer", "due BIGINT")
+
+    def judged(self, key, rows: list[dict], watermark: int) -> tuple[list[tuple], int | None]:
+        """Output for ``rows`` and the event time at which to ask again, if any."""
+        raise NotImplementedError
+
+    def _ask_at(self, due: int | None) -> None:
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old == due:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if due is not None:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        came = pd.concat(list(rows))[self.names]
+        whole = [t == "BIGINT" for _, t in (("seq", "BIGINT"), ("at_ms", "BIGINT"), *self.HELD)]
+        self.waiting.appendList([tuple(None if pd.isna(v) else int(v) if w else v for w, v in zip(whole, r, strict=True))
+                                 for r in came.itertuples(index=False)])
+        first = int(came["at_ms"].min())
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self._ask_at(first)
+        yield pd.DataFrame([], columns=list(self.COLUMNS))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()  # the one that fired
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [dict(zip(self.names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in held if r["at_ms"] < watermark), key=lambda r: (r["at_ms"], r["seq"]))
+        rest = [r for r in held if r["at_ms"] >= watermark]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([tuple(r[n] for n in self.names) for r in rest])
+        out, due = self.judged(key, ready, watermark)
+        times = [r["at_ms"] for r in rest] + ([] if due is None else [due])
+        self._ask_at(min(times) if times else None)
+        yield pd.DataFrame(out, columns=list(self.COLUMNS))
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedLimit(InEventOrder):
+    """``SlidingLimit`` over rows in event order; times of counted events are kept for one window."""
+
+    HELD = (("t", "BIGINT"), ("clears", "BOOLEAN"))
+    COLUMNS = ("key", "seq", "allowed", "retry_after")
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.window = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getListState("seen", "t BIGINT")
+
+    def judged(self, key, rows, watermark):
+        seen, out = [t[0] for t in self.seen.get()] if self.seen.exists() else [], []
+        for row in rows:
+            now = row["t"]
+            seen = [t for t in seen if t > now - self.window]
+            if len(seen) >= self.limit:
+                out.append((key[0], row["seq"], False, max(1, int((seen[0] + self.window - now) / 1e6) + 1)))
+                continue
+            seen = [] if row["clears"] else [*seen, now]
+            out.append((key[0], row["seq"], True, None))
+        seen = [t for t in seen if t > watermark * 1000 - self.window]
+        self.seen.clear()
+        if seen:
+            self.seen.put([(t,) for t in seen])
+        return out, (seen[-1] + self.window) // 1000 + 1 if seen else None
+
+
+class StuckInEventTime(InEventOrder):
+    """An alert for every time a document's status was ``processing`` for longer than ``after_ms`` without a new row."""
+
+    HELD = (("status", "STRING"),)
+    COLUMNS = ("doc_id", "due_ms")
+
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.since = handle.getValueState("since", "at_ms BIGINT")
+
+    def judged(self, key, rows, watermark):
+        since, out = self.since.get()[0] if self.since.exists() else None, []
+        for row in rows:
+            if since is not None and row["at_ms"] > since + self.after_ms:
+                out.append((key[0], since + self.after_ms))
+            since = row["at_ms"] if row["status"] == "processing" else None
+        if since is not None and watermark > since + self.after_ms:
+            out.append((key[0], since + self.after_ms))
+            since = None
+        if since is None:
+            self.since.clear()
+            return out, None
+        self.since.update((since,))
+        return out, since + self.after_ms
+
+
+class Replay(StatefulProcessor):
+    """Actions of a device in the order of its own numbers, each once, with positions that go on over batches.
+
+    Another payload under a number already taken is a conflict; a number below the device's highest that was never
+    delivered is late. Neither has a position. The fingerprint of a delivered number is forgotten when event time has
+    gone ``keep_ms`` past its delivery.
+    """
+
+    COLUMNS = ("device", "local_seq", "payload_hash", "verdict", "position")
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "position BIGINT, highest BIGINT, due BIGINT")
+        self.taken = handle.getMapState("taken", "local_seq BIGINT", "payload_hash STRING, received_ms BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        came = pd.concat(list(rows)).sort_values(["local_seq", "received_ms", "payload_hash"], kind="stable")
+        position, highest, due = self.at.get() if self.at.exists() else (0, None, None)
+        before, out = highest, []
+        for row in came.itertuples(index=False):
+            number = (row.local_seq,)
+            if self.taken.containsKey(number):
+                if self.taken.getValue(number)[0] != row.payload_hash:
+                    out.append((key[0], row.local_seq, row.payload_hash, "conflict", None))
+                continue
+            self.taken.updateValue(number, (row.payload_hash, row.received_ms))
+            if due is None:
+                due = int(row.received_ms) + self.keep_ms
+                self.handle.registerTimer(due)
+            if before is not None and row.local_seq < before:
+                out.append((key[0], row.local_seq, row.payload_hash, "late", None))
+                continue
+            position, highest = position + 1, row.local_seq
+            out.append((key[0], row.local_seq, row.payload_hash, "accepted" if row.whole else "tampered", position))
+        self.at.update((position, highest, due))
+        frame = pd.DataFrame(out, columns=list(self.COLUMNS))
+        yield frame.astype({"position": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        gone = timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        held = [(number, value[1]) for number, value in self.taken.iterator()]
+        for number, received in held:
+            if received < gone:
+                self.taken.removeKey(number)
+        left = [received for _, received in held if received >= gone]
+        due = min(left) + self.keep_ms + 1 if left else None
+        if due is not None:
+            self.handle.registerTimer(due)
+        position, highest, _ = self.at.get()
+        self.at.update((position, highest, due))
+        yield pd.DataFrame([], columns=list(self.COLUMNS))
+
+    def close(self) -> None:
+        pass

@@ -180,3 +180,16 @@ def test_refresh_keeps_officers_tags(spark):
     got = sorted((r.doc_id, r.entity_type, r.span_start) for r in spans.refresh_tags(old, new, done).collect())
     assert got == [(1, "A", 1), (1, "B", 5), (3, "A", 0)]
     assert SPAN.fieldNames() == ["entity_type", "span_start", "span_end", "confidence"]
+
+
+def test_white_space_and_word_edges_of_every_script(spark):
+    texts = ["+91 98765 43210", "Accused: Mr Rajesh Kumar 1", "+91 98765 43210", "son of: Ram Prasad 2",
+             "stab wound éfracture", "éABCDE1234F ABCDE1234F", "é1@x.example a@x.example", "named　Sunita\u0085Rao 3", "थाना9876543210"]
+    df = detect.detect_entities(spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING"))
+    got = {r.i: [(s.entity_type, texts[r.i][s.span_start:s.span_end]) for s in r.spans] for r in df.collect()}
+    assert got[0] == [("PHONE_NUMBER", texts[0])] and got[2] == [("PHONE_NUMBER", texts[2])]
+    assert ("PERSON", "Rajesh Kumar") in got[1] and ("PERSON", "Ram Prasad") in got[3]
+    assert got[4] == [("MEDICAL_CONDITION", "stab wound")]
+    assert [t for k, t in got[5] if k == "PAN"] == ["ABCDE1234F"] * 2  # by both spellings of the number, once after the space
+    assert got[6] == [("EMAIL_ADDRESS", "a@x.example")]
+    assert ("PERSON", "Sunita\u0085Rao") in got[7]
