@@ -128,3 +128,39 @@ def test_offline_actions_replay_in_device_order(spark):
     got = {(r.device, r.local_seq): (r.position, r.verdict) for r in J.replay(df).collect()}
     assert got == {("d1", 2): (1, "accepted"), ("d1", 5): (2, "accepted"), ("d2", 1): (1, "tampered")}
     assert K.STUCK_MINUTES == 10
+
+
+PAGES = ("doc_id BIGINT, page INT, box_no INT, text STRING, confidence DOUBLE, x1 INT, y1 INT, x2 INT, y2 INT, page_boxes INT, "
+         "at TIMESTAMP")
+
+
+def box(page, number, of, minute, text="word"):
+    return (1, page, number, text, 0.9, 100 * number, 0, 100 * number + 60, 20, of, datetime(2024, 1, 1, 0, minute))
+
+
+def test_a_page_over_several_batches_is_written_once(spark, stream, tmp_path):
+    J.use_keyed_state(spark)
+    blank = (1, 3, *[None] * 7, 0, datetime(2024, 1, 1))
+    boxes = stream(PAGES, [box(1, 0, 3, 0, "one"), box(2, 0, 2, 0, "early"), blank],
+                   [box(1, 1, 3, 1, "two"), box(1, 0, 3, 1, "one")], [box(1, 2, 3, 2, "three")],
+                   [box(4, 0, 1, 58, "later")], [box(5, 0, 1, 59, "last")], [box(1, 1, 3, 59, "two"), box(2, 1, 2, 59, "too late")])
+    finish(J.layout_stream(boxes, str(tmp_path / "pages"), str(tmp_path / "c")))
+    got = [(r.page, r.text, r.complete) for r in spark.read.parquet(str(tmp_path / "pages")).collect()]
+    assert sorted(got) == [(1, "one two three", True), (2, "early", False), (3, "", True), (4, "later", True), (5, "last", True)]
+
+
+def test_late_rows_are_judged_in_event_order(spark, stream, run):
+    at = lambda minute: datetime(2024, 1, 1, minute // 60, minute % 60)
+    rows = [("a", n, at(m), False) for n, m in enumerate((0, 10, 20, 30, 100, 110))] + [("z", 99, at(600), False)]
+    order = [rows[3], rows[0], rows[5]], [rows[1], rows[4]], [rows[2], rows[6]]
+    got = run(J.ordered_rate_stream(stream("k STRING, seq BIGINT, ts TIMESTAMP, ok BOOLEAN", *order), "k", 2, 3600, lateness="2 hours"))
+    assert {r.seq: r.allowed for r in got if r.key == "a"} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_replay_goes_on_over_batches(spark, stream, run):
+    good = lambda p: __import__("hashlib").sha256(p.encode()).hexdigest()
+    act = lambda n, p, minute, h=None: ("d", n, p, h or good(p), datetime(2024, 1, 1, 0, minute))
+    df = stream("device STRING, local_seq BIGINT, payload STRING, payload_hash STRING, received_at TIMESTAMP",
+                [act(2, "b", 0), act(5, "e", 0)], [act(5, "e", 1), act(6, "f", 1, "bad"), act(2, "other", 1), act(3, "c", 1)], [act(9, "i", 2)])
+    got = {(r.local_seq, r.verdict): r.position for r in run(J.continued_replay(df))}
+    assert got == {(2, "accepted"): 1, (5, "accepted"): 2, (6, "tampered"): 3, (2, "conflict"): None, (3, "late"): None, (9, "accepted"): 4}
