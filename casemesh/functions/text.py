@@ -137,26 +137,21 @@ def levenshtein_ratio(claimed: Column, extracted: Column) -> Column:
 def chunk_text(text: Column, max_chars: int = K.CHUNK_CHARS) -> Column:
     """Pieces of at most ``max_chars`` that join back exactly: ``array<struct<offset,chunk>>``.
 
-    A piece ends after the last line break in its window, else after the last space, else at the limit.
+    A piece ends after the last line break in its window, else after the last space, else at the limit. One pattern says
+    so: its alternatives are tried in that order, the rest of the text first, and each takes as much as it can. Null and
+    empty texts have no pieces.
     """
+    most = max_chars - 1
+    ends = "" if most < 1 else rf".{{1,{most}}}\n|.{{1,{most}}} |"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{max_chars}}}\z|{ends}.{{{max_chars}}}"), F.lit(0))
+    kind = "array<struct<offset:int,chunk:string>>"
 
-    @F.pandas_udf("array<struct<offset:int,chunk:string>>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        def cut(value: str) -> list[dict]:
-            found, at = [], 0
-            while at < len(value):
-                window = value[at:at + max_chars]
-                if at + max_chars < len(value):
-                    ends = [window.rfind(mark) for mark in ("\n", " ")]
-                    keep = next((e + 1 for e in ends if e > 0), len(window))
-                    window = window[:keep]
-                found.append({"offset": at, "chunk": window})
-                at += len(window)
-            return found
-
-        return texts.map(lambda v: cut(v) if v else [])
-
-    return pieces(text)
+    def place(acc: Column, piece: Column) -> Column:
+        here = F.struct(acc["at"].alias("offset"), piece.alias("chunk"))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return F.coalesce(F.aggregate(pieces, start, place, lambda acc: acc["out"]), F.array().cast(kind))
 
 
 def case_prefix(crime_type: Column) -> Column:

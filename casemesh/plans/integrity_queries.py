@@ -13,6 +13,7 @@ from casemesh.operators import cases as C
 from casemesh.operators import machine, rate
 from casemesh.plans.registry import query
 from casemesh.session import shared_dir
+from casemesh.sources import tables
 
 BITS = 6  # sealed in chains of 64 rows, so that the compared SQL recurses 64 times
 
@@ -145,6 +146,29 @@ def _(m):
     return N.proved(told, N.prove(tree, some), N.root(tree)).select("chain", "proved")
 
 
+@query("audit_committed", f"""
+WITH {SEALED} SELECT seq, chain, row_hash FROM s WHERE chain % 3 <> 2""")
+def _(m):
+    """Two of three batches of sealed rows are appended, one of them twice; the third fails before its commit."""
+    path, sealed = f"{shared_dir(m.spark)}/committed/{uuid.uuid4().hex}", _sealed(m).select("seq", "chain", "row_hash")
+    for name, part in (("a", 0), ("b", 1), ("a", 0)):
+        tables.commit_append(sealed.filter(F.col("chain") % 3 == part), path, name)
+    sealed.filter("chain % 3 = 2").write.parquet(f"{path}/data/unfinished")
+    return tables.read_committed(m.spark, path, sealed.schema)
+
+
+@query("rules_replaced", "SELECT role, doc_type, entity_type, 'show' AS action, min_confidence FROM m_policies WHERE min_confidence >= 50")
+def _(m):
+    """A rule set replaced by another, the replacement repeated, and one that fails before its commit."""
+    path, rules = f"{shared_dir(m.spark)}/committed/{uuid.uuid4().hex}", m.m_policies
+    tables.commit_replacement(rules, path, "first")
+    new = rules.filter("min_confidence >= 50").withColumn("action", F.lit("show"))
+    for _ in range(2):
+        tables.commit_replacement(new, path, "second")
+    rules.limit(0).write.parquet(f"{path}/data/unfinished")
+    return tables.read_committed(m.spark, path, new.schema)
+
+
 @query("audit_slice_links", """
 SELECT case_id, seq, lag(seq) OVER w AS previous_seq, CASE WHEN lag(seq) OVER w IS NULL THEN seq = 1
   ELSE lag(seq) OVER w = seq - 1 END AS linked FROM m_audit WINDOW w AS (PARTITION BY case_id ORDER BY seq)""")

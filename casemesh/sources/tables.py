@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,10 @@ def insert_missing(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 
 
 def replace_rules(new: DataFrame, path: str, partition: str | None = None) -> None:
-    """Whole-table replacement of a rule set, or of the partitions ``new`` holds."""
+    """Whole-table replacement of a rule set, or of the partitions ``new`` holds.
+
+    Written in place; ``commit_replacement`` never shows readers a table that is half there.
+    """
     writer = new.write.mode("overwrite")
     if partition:
         writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
@@ -63,10 +68,63 @@ def replace_rules(new: DataFrame, path: str, partition: str | None = None) -> No
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Append-only audit sink; rows are sealed first, see ``operators.seal``."""
+    """Append-only audit sink; rows are sealed first, see ``operators.seal``. ``commit_append`` takes a repeated job once."""
     rows.write.mode("append").parquet(path)
 
 
+# --- tables with commits: data folders that count once a commit names them -----------------------------
+
+COMMIT = "number BIGINT, batch STRING, replaces BOOLEAN, folder STRING"
+
+
+def _commits(spark: SparkSession, path: str) -> list:
+    """The commits in order; one small row for every batch ever written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.schema(COMMIT).parquet(f"{path}/commits/*").orderBy("number").collect()
+
+
+def _commit(rows: DataFrame, path: str, batch: str, replaces: bool) -> bool:
+    """Write ``rows`` to a folder of their own and then name it in a commit; false if ``batch`` was committed before.
+
+    The commit is written aside and renamed, so it is there as a whole or not at all; a job that fails before that
+    leaves a folder nothing reads. Writers of one table take turns.
+    """
+    spark = rows.sparkSession
+    done = _commits(spark, path)
+    if any(c["batch"] == batch for c in done):
+        return False
+    folder, number = f"data/{uuid.uuid4().hex}", (done[-1]["number"] + 1 if done else 0)
+    rows.write.parquet(f"{path}/{folder}")
+    aside = f"{path}/aside/{uuid.uuid4().hex}"
+    spark.createDataFrame([(number, batch, replaces, folder)], COMMIT).coalesce(1).write.parquet(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(f"{path}/commits"))
+    if not files.rename(hadoop.Path(aside), hadoop.Path(f"{path}/commits/{number:012d}")):
+        raise OSError(f"commit {number} of {path} was not possible")
+    return True
+
+
+def commit_append(rows: DataFrame, path: str, batch: str) -> bool:
+    """Append ``rows`` once under the name ``batch``: a job that is repeated adds nothing. Whether it was added."""
+    return _commit(rows, path, batch, False)
+
+
+def commit_replacement(rows: DataFrame, path: str, batch: str) -> bool:
+    """Let ``rows`` stand for all rows before; readers see the old table until the new one is whole."""
+    return _commit(rows, path, batch, True)
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The table as committed: the last replacement and what was appended since; empty before the first commit."""
+    commits = _commits(spark, path)
+    first = max((n for n, c in enumerate(commits) if c["replaces"]), default=0)
+    folders = [f"{path}/{c['folder']}" for c in commits[first:]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def object_key(org, case, doc, version):
     """Storage path ``org/case/doc/v<version>`` of one document version."""
     return F.concat_ws("/", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
