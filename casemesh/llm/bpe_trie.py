@@ -13,9 +13,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -111,23 +113,36 @@ class Vocabulary:
                 j += 1
 
 
+def sizes_by_ending(tokens: Iterable[bytes]) -> dict[bytes, list[int]]:
+    """For three bytes the sizes of the tokens that end in them, largest first."""
+    found: dict[bytes, set[int]] = {}
+    for token in tokens:
+        if len(token) > 2:
+            found.setdefault(token[-3:], set()).add(len(token))
+    return {ending: sorted(sizes, reverse=True) for ending, sizes in found.items()}
+
+
 class WordTrie:
     """Prefixes of the words met so far, with the last token of each."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.inner, self.final = sizes_by_ending(vocabulary.inner), sizes_by_ending(vocabulary.final or {})
         self._clear()
 
     def _clear(self) -> None:
         self.children: dict[int, int] = {}  # node * 256 + byte to node
         self.last = [-1]
 
-    def _last(self, tokens: dict[bytes, int], word: bytes, end: int, path: list[int]) -> int:
+    def _last(self, tokens: dict[bytes, int], sizes: dict[bytes, list[int]], word: bytes, end: int, path: list[int]) -> int:
+        """The last token of ``word[:end]``: the longest that ends it and may follow the last token of what is before."""
         last, may_follow = self.last, self.v.may_follow
-        for start in range(max(0, end - self.v.longest), end):
-            token = tokens.get(word[start:end])
-            if token is not None and (start == 0 or may_follow(last[path[start]], token)):
-                return token
+        for size in (*sizes.get(word[end - 3:end], ()), 2, 1) if end > 2 else (2, 1):
+            if size <= end:
+                start = end - size
+                token = tokens.get(word[start:end])
+                if token is not None and (start == 0 or may_follow(last[path[start]], token)):
+                    return token
         raise ValueError("the vocabulary lacks a byte")
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
@@ -148,10 +163,10 @@ class WordTrie:
                 node = children.get(key)
                 if node is None:
                     node = children[key] = len(last)
-                    last.append(self._last(v.inner, word, depth + 1, path))
+                    last.append(self._last(v.inner, self.inner, word, depth + 1, path))
                 path.append(node)
             before = word
-            token = self._last(v.final, word, len(word), path) if v.final else last[path[len(word)]]
+            token = self._last(v.final, self.final, word, len(word), path) if v.final else last[path[len(word)]]
             ids, left = [token], len(word) - v.size[token]
             while left:
                 token = last[path[left]]
@@ -233,6 +248,19 @@ class Decoder:
             self.raw = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
                         for i, t in self.tokens.items()}
 
+        else:
+            self.table = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
+
+    def decode_many(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids."""
+        flat = ids.flatten()
+        bounds = pc.min_max(flat)
+        if self.by_bytes or self.table.null_count or flat.null_count or len(flat) and not (
+                bounds["min"].as_py() >= 0 and bounds["max"].as_py() < len(self.table)):
+            return pa.array([self.decode(x) for x in ids.to_pylist()], type=pa.string())
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.table.take(flat)), " ")
+
     def decode(self, ids: list[int] | None) -> str:
         known = self.raw if self.by_bytes else self.tokens
         parts = [known[i] for i in ids or () if i in known]
@@ -252,7 +280,6 @@ def decode_ids(df: DataFrame, tokenizer: str, ids: str = "ids", name: str = "dec
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [decoder.decode(x) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.decode_many(part.column(place))], names=names)
 
     return df.mapInArrow(run, schema)
