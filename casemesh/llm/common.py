@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Rows and text bytes handled at once inside a task; they bound its memory and change no result.
-SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 2_000, 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,6 +76,15 @@ def doc_crc(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def large_apart() -> None:
+    """At a task's start: arrays of a megabyte and more get memory of their own, which goes back when they do.
+
+    Else the C library takes to larger and larger blocks of a heap that it cannot return.
+    """
+    if (tune := getattr(ctypes.CDLL(None), "mallopt", None)) is not None:
+        tune(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """At a task's end: memory that the Python worker holds without use; it may go on with tasks of another kind."""
     pa.default_memory_pool().release_unused()
@@ -115,6 +124,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str], out: StructType, make: Calla
     def run(batches):
         if not encoder and sys.modules.pop("_llm_worker", None) is not None:
             give_back()
+        large_apart()
         work = make()
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from casemesh.llm.common import Scratch, give_back, map_texts, stored
+from casemesh.llm.common import Scratch, give_back, large_apart, map_texts, stored
 from casemesh.llm.components import connected_components
 from casemesh.llm.simhash_golay import BLOCK, _remainders, pick_first, shingle_hashes, signed
 
@@ -132,6 +132,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     chosen = pairs_of_segments()
 
     def keys(batches):
+        large_apart()
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from casemesh.llm.common import own_name, slices, stored
+from casemesh.llm.common import give_back, large_apart, own_name, slices, stored
 from casemesh.llm.library_ids import encoder_of_worker
 
 WINDOW = 2_048
@@ -43,6 +43,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # one vocabulary file, about 2 MB
 
     def run(batches):
+        large_apart()
         encoder, part, seen = encoder_of_worker(shared.value), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([end_id], dtype=np.int32)
         for batch in batches:
@@ -68,6 +69,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
                         pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)),
                         pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
