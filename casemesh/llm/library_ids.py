@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from casemesh.llm.common import map_texts
 
 #: Distinct pieces a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 #: Fixed value: how the lower-casing tokenizer's file cuts a text into words.
 SPLIT_AT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

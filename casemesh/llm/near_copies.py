@@ -33,6 +33,9 @@ LEAST = (4, 5)
 SEGMENTS, STEPS = 48, (1, 7, 24)
 #: Signs that candidates are told by, and how many may differ: at similarity 0.8 more do once in 200,000 pairs.
 CHECKED, FAR = 256, 64
+#: More signs differ, or sizes more than this, only where the similarity is below 0.4. Such a set is no near copy of a near
+#: copy of what it was compared with, nor of one's near copy: distances of sets, one less their similarity, add up.
+SURE, SURE_SIZE = 100, (2, 5)
 SIGNS = [f"f{n}" for n in range(CHECKED // 64)]
 #: Columns the signed shingles are summed into before the random signs.
 SKETCH = 1_024
@@ -172,18 +175,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 # --- similarity -----------------------------------------------------------------------------------------------------
 
-def _alike() -> Column:
-    """Whether the sizes ``z`` and signs of two sets, named a and b, allow the similarity."""
-    sizes = F.least("z_a", "z_b") * LEAST[1] >= F.greatest("z_a", "z_b") * LEAST[0]
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
-    return sizes & (differ <= FAR)
-
-
 def _tested(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with ``alike``: fixed-width sketches are joined, no texts."""
+    """``pairs`` (u, v) with ``alike``, whether sizes and signs allow the similarity, and ``apart``, whether they are surely
+    far apart. Fixed-width sketches are joined, no texts."""
     sides = [nodes.select(F.col("s").alias(end), *(F.col(c).alias(f"{c}_{side}") for c in ("z", *SIGNS)))
              for end, side in (("u", "a"), ("v", "b"))]
-    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", _alike().alias("alike"))
+    small, large = F.least("z_a", "z_b"), F.greatest("z_a", "z_b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
+    alike = (small * LEAST[1] >= large * LEAST[0]) & (differ <= FAR)
+    apart = (small * SURE_SIZE[1] < large * SURE_SIZE[0]) | (differ > SURE)
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", alike.alias("alike"), apart.alias("apart"))
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -312,11 +313,18 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, block: int = BLOC
     edges = scratch.put(confirmed(docs, nodes, tested.where("alike").select("u", "v"), scratch), "confirmed")
     label = connected_components(edges)
     ends = [label.select(F.col("node").alias(end), F.col("component").alias(side)) for end, side in (("u", "a"), ("v", "b"))]
-    apart = (tested.join(edges, ["u", "v"], "left_anti").join(ends[0], "u", "left").join(ends[1], "v", "left")
-             .where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v"))
-    left = found.join(apart, ["u", "v"], "left_semi").select("k").distinct()
-    mixed = scratch.put(found.join(left, "k", "left_semi"), "mixed")
-    members = mixed.select("k", F.col("u").alias("s")).union(mixed.select("k", "v")).distinct()
+    open_ = (tested.join(edges, ["u", "v"], "left_anti").join(ends[0], "u", "left").join(ends[1], "v", "left")
+             .where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v", "apart"))
+    open_ = scratch.put(found.join(open_, ["u", "v"]), "open")
+    # where every such pair of a key is surely far apart, and no other set was compared with the one refused, only the
+    # sets that were refused have to meet
+    heads = found.select("k", F.col("v").alias("u"), F.lit(True).alias("star")).distinct()
+    doubtful = open_.join(heads, ["k", "u"], "left").groupBy("k").agg(
+        F.bool_or(~F.col("apart") | F.col("star").isNotNull()).alias("doubt"), F.count("*").alias("n"))
+    doubtful = scratch.put(doubtful, "doubtful")
+    whole = scratch.put(found.join(doubtful.where("doubt").select("k"), "k", "left_semi").select("k", "u", "v"), "whole")
+    refused = scratch.put(open_.join(doubtful.where("not doubt and n > 1").select("k"), "k", "left_semi").select("k", "u"), "refused")
+    members = (whole.select("k", F.col("u").alias("s")).union(whole.select("k", "v")).union(refused)).distinct()
     labelled = (members.join(nodes.select("s", "z", *SIGNS), "s")
                 .join(label.select(F.col("node").alias("s"), F.col("component").alias("label")), "s", "left")
                 .select("k", "s", F.coalesce("label", "s").alias("label"), "z", *SIGNS))
