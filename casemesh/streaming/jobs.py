@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -38,10 +38,28 @@ def once_per_delivery(stream: DataFrame, key: str = "idempotency_key", event_tim
 def ledger_stream(submissions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Outcome of every ``(seq, doc_id, doc_hash)``: recorded, noop or conflict; ``ledger`` is what is held already."""
     kt = submissions.schema["doc_id"].dataType.simpleString()
-    initial = None if ledger is None else ledger.select("doc_id", "ledger_hash").groupBy("doc_id")
-    return submissions.select("doc_id", "seq", "doc_hash").groupBy("doc_id").transformWithStateInPandas(
+    known = _with_known(submissions, "doc_id", None if ledger is None else ledger.select("doc_id", F.col("ledger_hash").alias("known")))
+    return _keyed(known.select("doc_id", "seq", "doc_hash", "known"), "doc_id").transformWithStateInPandas(
         statefulProcessor=WriteOnce(), outputStructType=f"seq BIGINT, doc_id {kt}, doc_hash STRING, outcome STRING",
-        outputMode="Append", timeMode="None", initialState=initial)
+        outputMode="Append", timeMode="None")
+
+
+def _with_known(stream: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
+    """``stream`` with what is ``known`` (key, known) of each row's key, null if nothing.
+
+    A static table is joined to every batch by Spark; as initial state it would go through Python key by key, those that
+    the stream never names too. Of several rows with one key the least value counts.
+    """
+    if known is None:
+        return stream.withColumn("known", F.lit(None).cast("string"))
+    one = known.groupBy(F.col(key).alias("_key")).agg(F.min("known").alias("known"))
+    return stream.join(one, stream[key].eqNullSafe(one["_key"]), "left").drop("_key")
+
+
+def _keyed(rows: DataFrame, key: str) -> GroupedData:
+    """``rows`` by ``key`` and whether it is null: Spark's Python state takes a null key for another one."""
+    filled = F.coalesce(F.col(key), F.lit(0).cast(rows.schema[key].dataType))
+    return rows.withColumn("_none", F.col(key).isNull()).withColumn(key, filled).groupBy(key, "_none")
 
 
 def machine_stream(events: DataFrame, moves, first: str, initial: DataFrame | None = None) -> DataFrame:
@@ -53,12 +71,13 @@ def machine_stream(events: DataFrame, moves, first: str, initial: DataFrame | No
     kt = events.schema["case_id"].dataType.simpleString()
     if "blocked" not in events.columns:
         events = events.withColumn("blocked", F.lit(None).cast("string"))
-    known = None if initial is None else initial.select("case_id", F.coalesce("state", F.lit(first)).alias("state")).groupBy("case_id")
-    return events.select("case_id", "seq", "action", "blocked").groupBy("case_id").transformWithStateInPandas(
+    known = None if initial is None else initial.select("case_id", F.coalesce("state", F.lit(first)).alias("known"))
+    begun = _with_known(events, "case_id", known)
+    return _keyed(begun.select("case_id", "seq", "action", "blocked", "known"), "case_id").transformWithStateInPandas(
         statefulProcessor=Machine(moves, first if known is None else None),
         outputStructType=f"case_id {kt}, seq BIGINT, action STRING, from_state STRING, accepted BOOLEAN, "
                          "to_state STRING, reason STRING",
-        outputMode="Append", timeMode="None", initialState=known)
+        outputMode="Append", timeMode="None")
 
 
 def bail_stream(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
