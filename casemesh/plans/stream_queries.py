@@ -10,7 +10,7 @@ from casemesh.plans.access_queries import SUBMISSIONS_WRITE_ONCE
 from casemesh.plans.integrity_queries import BAIL, LIVE
 from casemesh.plans.layout_queries import LISTED, ROWS
 from casemesh.plans.registry import query
-from casemesh.session import shared_dir
+from casemesh.session import cut_lineage, shared_dir
 from casemesh.sources.tables import SUPPLIED
 from casemesh.streaming import jobs as J
 
@@ -39,8 +39,9 @@ def _store(m, df):
 def _in_parts(m, df, part, start) -> None:
     """Run ``start(stream)`` once for each value of ``part``, with that part's rows as new files of the stream."""
     path = f"{_folder(m)}/in"
+    dealt = cut_lineage(df.withColumn("_part", part.cast("int")))  # made once, not once a part
     for number in range(PARTS):
-        df.filter(part == number).write.mode("append").parquet(path)
+        dealt.filter(F.col("_part") == number).drop("_part").write.mode("append").parquet(path)
         _run(start(m.spark.readStream.schema(df.schema).parquet(path)))
 
 

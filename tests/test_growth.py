@@ -15,6 +15,69 @@ from casemesh.streaming.processors import OrderedLimit, PageBoxes, Replay, Stuck
 
 
 
+class Cell:
+    """A state variable that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.rows, self.held = calls, None, [], {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return getattr(self, f"_{name}")(*args)
+        return call
+
+    def _get(self):
+        return iter(list(self.rows)) if self.value is None and self.listed else self.value
+
+    def _exists(self):
+        return self.value is not None or bool(self.rows)
+
+    def _update(self, value):
+        self.value = value
+
+    def _clear(self):
+        self.value, self.rows = None, []
+
+    def _put(self, rows):
+        self.rows = list(rows)
+
+    def _appendList(self, rows):
+        self.rows += rows
+
+
+class Handle:
+    def __init__(self):
+        self.calls = []
+
+    def _cell(self, listed):
+        cell = Cell(self.calls)
+        cell.listed = listed
+        return cell
+
+    def getValueState(self, name, schema):
+        return self._cell(False)
+
+    def getListState(self, name, schema):
+        return self._cell(True)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+
+
+def test_an_unfinished_page_gives_no_empty_frame():
+    processor, handle = PageBoxes(1000), Handle()
+    processor.init(handle)
+    box = {"confidence": 0.5, "x1": 1, "y1": 2, "x2": 3, "y2": 4, "page_boxes": 2, "at_ms": 7}
+    assert list(processor.handleInputRows((1, 1), iter([pd.DataFrame([{"box_no": 1, "text": "b", **box}])]), None)) == []
+    out = list(processor.handleInputRows((1, 1), iter([pd.DataFrame([{"box_no": 0, "text": None, **box}])]), None))
+    assert [tuple(r)[2:4] for r in out[0].itertuples(index=False)] == [(0, None), (1, "b")] and out[0]["complete"].tolist() == [True, True]
+    assert list(processor.handleInputRows((1, 1), iter([pd.DataFrame([{"box_no": 1, "text": "b", **box}])]), None)) == []
+
+
 def test_only_keys_of_the_stream_are_held(spark, tmp_path):
     """Cases that the stream never names stay out of the keyed state, where each cost a call of Python."""
     J.use_keyed_state(spark)
