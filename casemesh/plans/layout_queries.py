@@ -12,7 +12,6 @@ from casemesh.functions import text as X
 from casemesh.operators import layout as L
 from casemesh.plans.listing_queries import quoted
 from casemesh.plans.registry import query
-from casemesh.session import spread
 from casemesh.sources import blobs as B
 
 OVERLAP = ("greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) "
@@ -277,7 +276,7 @@ SELECT o_orderkey AS doc_id, concat(o_orderkey, '/', year(o_orderdate) % 100 + 1
   concat('House ', o_custkey, ' Model Town') AS address, concat('NEAR ROAD ', o_orderkey) AS place_of_occurrence,
   CAST(NULL AS VARCHAR) AS incident_description FROM orders""")
 def _(m):
-    fields = spread(m.m_forms).select("doc_id", FF.fir_fields(F.col("text")).alias("f")).select("doc_id", "f.*")
+    fields = m.spread("m_forms").select("doc_id", FF.fir_fields(F.col("text")).alias("f")).select("doc_id", "f.*")
     return fields.withColumn("ipc_sections", F.array_join("ipc_sections", ","))
 
 
@@ -285,13 +284,13 @@ def _(m):
 SELECT o_orderkey AS doc_id, unnest([concat('IPC ', 100 + o_custkey % 400), concat('IPC ', 501 + o_orderkey % 10)]) AS section
 FROM orders""")
 def _(m):
-    return spread(m.m_forms).select("doc_id", F.explode(FF.statute_sections(F.col("text"))).alias("section"))
+    return m.spread("m_forms").select("doc_id", F.explode(FF.statute_sections(F.col("text"))).alias("section"))
 
 
 @query("form_registration_times", """
 SELECT o_orderkey AS doc_id, concat('1', o_orderkey % 10, ':', 10 + o_custkey % 50, ' hrs') AS registration_time FROM orders""")
 def _(m):
-    return spread(m.m_forms).select("doc_id", FF.registration_time(F.col("text")).alias("registration_time"))
+    return m.spread("m_forms").select("doc_id", FF.registration_time(F.col("text")).alias("registration_time"))
 
 
 @query("form_templates", """

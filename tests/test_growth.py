@@ -15,6 +15,29 @@ from casemesh.streaming.processors import OrderedLimit, PageBoxes, Replay, Stuck
 
 
 
+@pytest.fixture()
+def one_row_group(spark, tmp_path):
+    """A folder with a table of one file and one row group that a scan splits into many tasks, all but one without rows."""
+    def make(df, name):
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return str(tmp_path)
+    yield make
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_of_one_row_group_are_spread(spark, one_row_group):
+    folder = one_row_group(spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")), "t")
+    read = spark.read.parquet(f"{folder}/t.parquet")
+    assert read.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert read.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n).count() == 1
+    sizes = spread(read).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / spark.sparkContext.defaultParallelism
+    assert spread(read).exceptAll(read).count() == 0
+
+
 class Cell:
     """A state variable that counts its calls."""
 
