@@ -38,6 +38,29 @@ def test_rows_of_one_row_group_are_spread(spark, one_row_group):
     assert spread(read).exceptAll(read).count() == 0
 
 
+HARD = ["", "x", "call +91 9876543210 or 98765 43210, 123-456-7890. é9876543210 ९८७६५४३२१०", "2345 6789 0123 é2345 6789 0123",
+        "ABCDE1234F, ABCDE 12O4 F, éABCDE1234F abcde1234f", "A GUNSHOT  wound, Trauma, blunt force trauma, post-mortem, Rigor Mortis tRAUMATIC shock",
+        "Mr. Rajesh Kumar 1; VICTIM: Sunita Rao 2; sub-inspector Amit 3; Witness Om 4; hc Lal 5; Officer Das",
+        "named Ram Lal Das, alias Om Prakash, identified as Jo Bo, Son of Sita Devi, w/o Om Lal, D/O Ram Rao",
+        "name: ram lal, informant - om das, Complainant/ Shri Jo Bo, suspect. ab cde fgh, VICTIM: abc def",
+        "wife of Sh. Ram Lal, s/o LT. om prakash das", "10.0.0.1 1234 5678 9012 3456 (123) 456-7890", "AB-CD-12 ABC/123/2020",
+        "u/s 154 Cr.P.C., 379/411 IPC; Section 3 BNS, Sec. 4 I.P.C, sec5 b.n.s.s., 302(2) & 4A pocso, N.D.P.S. PMLA m.c.o.c.a IT  Act 66",
+        "U/S 5 bsa धारा 302 भा.दं.सं. अधिनियम 4 IPC संहिता IPC ६६ ipc crpc BSA B.S.A. it act", "P.S. F.I.R. No. S.No. g.d. no District xDistrict थाना जिला समय",
+        "प्र.सू.रि. दिनांक वर्ष अधिनियम धाराएँ धाराएं FIR No fir no. P. S. p.s"]
+KNOWN = (*P.DEFAULT_RECOGNIZERS, *P.ID_RECOGNIZERS, P.PHONE_AS_PRINTED, P.CITATION, P.CAPTION)
+
+
+def test_a_look_at_the_start_changes_no_match(spark):
+    texts = spark.createDataFrame([(t,) for t in [*HARD, " | ".join(HARD), "".join(HARD)]], "text STRING")
+    with_start = [r for r in KNOWN if r.starts]
+    assert {r.entity_type for r in KNOWN} - {r.entity_type for r in with_start} == {"EMAIL_ADDRESS"}
+    for r in with_start:
+        whole = replace(r, starts=None)
+        row = texts.select(detect.match_spans(F.col("text"), r).alias("a"), detect.match_spans(F.col("text"), whole).alias("b")).collect()
+        assert [x.a for x in row] == [x.b for x in row]
+        assert any(x.a for x in row), r
+
+
 class Cell:
     """A state variable that counts its calls."""
 
