@@ -38,6 +38,20 @@ def test_rows_of_one_row_group_are_spread(spark, one_row_group):
     assert spread(read).exceptAll(read).count() == 0
 
 
+def test_words_of_boxes_and_forms_are_spread(spark, one_row_group):
+    turns = spark.range(600).selectExpr("id AS conv_id", "id % 3 AS turn", "'user' AS role", "sha2(cast(id AS string), 512) AS text")
+    folder = one_row_group(turns, "conversations")
+    boxes = Models(spark, folder).m_boxes.select("doc_id").rdd
+    assert boxes.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n).count() > 1
+    orders = spark.range(3000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice",
+                                          "timestamp '2020-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    one_row_group(orders, "orders")
+    m = Models(spark, folder)
+    forms = m.spread("m_forms")
+    assert forms.select("doc_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n).count() > 1
+    assert forms.exceptAll(m.m_forms).count() == m.m_forms.exceptAll(forms).count() == 0
+
+
 HARD = ["", "x", "call +91 9876543210 or 98765 43210, 123-456-7890. é9876543210 ९८७६५४३२१०", "2345 6789 0123 é2345 6789 0123",
         "ABCDE1234F, ABCDE 12O4 F, éABCDE1234F abcde1234f", "A GUNSHOT  wound, Trauma, blunt force trauma, post-mortem, Rigor Mortis tRAUMATIC shock",
         "Mr. Rajesh Kumar 1; VICTIM: Sunita Rao 2; sub-inspector Amit 3; Witness Om 4; hc Lal 5; Officer Das",
