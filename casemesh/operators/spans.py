@@ -20,8 +20,7 @@ def _cut(text: Column, start: Column, end: Column) -> Column:
 
 def protected_ranges(text: Column) -> Column:
     """Statute citations and form captions, as ``array<span>``; these are never masked."""
-    return detect.match_spans(text, P.Recognizer("CITATION", P.STATUTE_CITATION, 0),
-                              P.Recognizer("CAPTION", P.FORM_CAPTION, 0))
+    return detect.match_spans(text, P.CITATION, P.CAPTION)
 
 
 def trim_spans(spans: Column, ranges: Column, text: Column) -> Column:
