@@ -108,7 +108,7 @@ def tagged(docs: DataFrame, text: str = "raw_text", recognizers: Iterable[P.Reco
     t = F.col(text)
     any_found = F.size(raw) > 0
     trimmed = found.withColumn("_raw", F.when(
-        any_found, trim_spans(raw, protected_ranges(t), t)).otherwise(raw))
+        any_found, bind(protected_ranges(t), lambda ranges: trim_spans(raw, ranges, t))).otherwise(raw))
     scored = trimmed.withColumn("_raw", F.when(any_found, score_spans(F.col("_raw"), t)).otherwise(F.col("_raw")))
     return scored.withColumn("spans", resolve_overlaps(F.col("_raw"))).drop("_raw")
 

@@ -75,6 +75,14 @@ def test_a_look_at_the_start_changes_no_match(spark):
         assert any(x.a for x in row), r
 
 
+def test_ranges_are_found_once_a_text(spark):
+    """Protected ranges do not depend on a span; they were looked for again for each."""
+    docs = spark.createDataFrame([(1, "Mr Ram Lal, Mr Om Das, u/s 4 IPC")], "doc_id BIGINT, raw_text STRING")
+    plan = spans.tagged(docs)._jdf.queryExecution().analyzed().toString()
+    patterns = plan.count("named_struct(kind, CAPTION") + plan.count("struct(kind, CAPTION") - plan.count("named_struct(kind, CAPTION")
+    assert patterns == 1
+
+
 class Cell:
     """A state variable that counts its calls."""
 
