@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -17,6 +19,9 @@ from pyspark.sql.types import StructField, StructType
 
 #: Rows and text bytes handled at once inside a task; they bound its memory and change no result.
 SLICE_ROWS, SLICE_BYTES = 2_000, 2 << 20
+#: Seconds after which the driver of a long job lets go of what its finished steps held.
+TIDY_S = 5
+_tidied = [0.0]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +40,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that a lost executor costs a re-read only."""
     path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop the plans, task figures and shuffle files of finished steps, at most every TIDY_S seconds.
+
+    A job of many steps else keeps them until the driver's heap is full, however large that is.
+    """
+    if time.monotonic() - _tidied[0] >= TIDY_S:
+        gc.collect()  # first the names that Python has for the JVM's objects
+        spark.sparkContext._jvm.System.gc()
+        give_back()
+        _tidied[0] = time.monotonic()
+
+
 class Scratch:
     """Tables of one job in the shared folder, each written whole before it is read, and removed when nothing needs it.
 
@@ -52,6 +70,7 @@ class Scratch:
         self.count += 1
         path = f"{self.folder}/{self.count}-{name}"
         df.write.parquet(path)
+        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

@@ -9,7 +9,8 @@ sets of similarity 0.8 share one in 99 of 100 cases, sets of 0.85 in 99.97.
 
 The work is linear in a group's size. Of the sets with one key each is compared with the least alone, first inside a
 task: by size, by 256 further signs, of which at most FAR may differ, and by its real shingles. Only members of keys
-where that did not show all to be one group are then compared with all members not yet in their group.
+where that did not show all to be one group are then compared with all members not yet in their group, and by the least
+shingles of 512 places too, so that members of a large family that are less alike than 0.8 make no pairs of rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ SURE, SURE_SIZE = 100, (2, 5)
 SIGNS = [f"f{n}" for n in range(CHECKED // 64)]
 #: Columns the signed shingles are summed into before the random signs.
 SKETCH = 1_024
+#: Places that shingles are dealt to by hash; a set's least shingle in each is kept as a number of four bits, 0 where it has none.
+PLACES = 512
+#: Standard deviations, and places more, by which two sets of similarity 0.8 may agree in fewer of the places than expected:
+#: more do about once in 300,000 pairs.
+WIDE, SLACK = 4.5, 2
 #: Sets whose keys are made at once; pairs of one least set that a task compares by their shingles.
 AT_ONCE, SHARE = 2_048, 256
 
@@ -59,6 +65,28 @@ def _digest(text: str | None) -> int:
     return set_digest(shingle_set(text))
 
 
+def least_places(shingles: np.ndarray) -> bytes:
+    """The least shingle of every place, two places a byte; ``shingles`` are sorted."""
+    place, rest = (shingles >> np.uint64(20) & np.uint64(PLACES - 1)).astype(np.int64), shingles >> np.uint64(29)
+    least = np.zeros(PLACES, np.uint8)
+    least[place[::-1]] = (rest % np.uint64(15)).astype(np.uint8)[::-1] + 1  # of equal places the last written stays
+    return (least[::2] << 4 | least[1::2]).tobytes()
+
+
+def _may_be_alike(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether rows of ``least_places`` agree in as many places as those of sets with a similarity of LEAST would.
+
+    Of sets with ``size`` shingles together and this similarity the places hold a draw without replacement from their union.
+    """
+    used = differ = 0
+    for half in (0x0F, 0xF0):
+        used = used + np.count_nonzero((a | b) & half, axis=1)
+        differ = differ + np.count_nonzero((a ^ b) & half, axis=1)
+    share, union = LEAST[0] / LEAST[1], size * LEAST[1] / sum(LEAST)
+    spread = np.sqrt(share * (1 - share) * used * np.maximum(union - used, 0) / np.maximum(union - 1, 1))
+    return used - differ >= share * used - WIDE * spread - SLACK
+
+
 def pairs_of_segments() -> np.ndarray:
     """The two segments of every key."""
     at = np.arange(SEGMENTS)
@@ -93,26 +121,28 @@ class Coder:
 
 
 def with_codes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``s`` (digest of the shingle set), ``z`` (its size), check signs and ``codes`` of every row; no codes
-    without words."""
+    """``doc_id``, ``s`` (digest of the shingle set), ``z`` (its size), check signs, ``least_places`` and ``codes`` of every
+    row; no codes without words."""
     def make():
         coder = Coder()
 
         def work(texts):
-            digests, sizes, signs, codes = [], [], [], []
+            digests, sizes, signs, places, codes = [], [], [], [], []
             for at in range(0, len(texts), 128):
                 sets = [shingle_set(t) for t in texts[at:at + 128]]
                 indices, checks = coder(sets)
                 digests += [set_digest(x) for x in sets]
                 sizes += [len(x) for x in sets]
                 signs.append(checks)
+                places += [least_places(x) for x in sets]
                 codes += [i.tobytes() if len(x) else None for i, x in zip(indices, sets, strict=True)]
             signs = np.concatenate(signs)
-            return [digests, sizes, *(pa.array(signs[:, k].copy()) for k in range(len(SIGNS))), codes]
+            return [digests, sizes, *(pa.array(signs[:, k].copy()) for k in range(len(SIGNS))), places, codes]
         return work
 
     fields = [StructField(c, LongType()) for c in ("s", "z", *SIGNS)]
-    return map_texts(docs, ["doc_id"], StructType([*fields, StructField("codes", BinaryType())]), make)
+    fields += [StructField(c, BinaryType()) for c in ("places", "codes")]
+    return map_texts(docs, ["doc_id"], StructType(fields), make)
 
 
 def _stars(key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,6 +279,7 @@ def _near(table: pa.Table):
     """
     k, i, j, s, label, z = (table.column(c).to_numpy() for c in range(6))
     signs = [table.column(c).to_numpy().view(np.uint64) for c in range(6, 6 + len(SIGNS))]
+    places = np.frombuffer(b"".join(table.column(6 + len(SIGNS)).to_pylist()), np.uint8).reshape(len(k), -1)
     group = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     at, lag = np.arange(len(k)), 1
     while len(at):
@@ -259,6 +290,10 @@ def _near(table: pa.Table):
         u, v = u[near], v[near]
         near = sum(np.bitwise_count(f[u] ^ f[v]).astype(np.int64) for f in signs) <= FAR
         u, v = u[near], v[near]
+        near = np.concatenate([np.zeros(0, bool), *(  # a bounded number of pairs at a time
+            _may_be_alike(places[u[n:n + AT_ONCE]], places[v[n:n + AT_ONCE]], z[u[n:n + AT_ONCE]] + z[v[n:n + AT_ONCE]])
+            for n in range(0, len(u), AT_ONCE))])
+        u, v = u[near], v[near]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(s[u], s[v]), np.minimum(s[u], s[v]))], names=["u", "v"])
         lag += 1
@@ -272,7 +307,7 @@ def across(members: DataFrame, block: int) -> DataFrame:
     large = (members.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block)
              .select("k", F.ceil(F.col("n") / block).cast("int").alias("parts")))
     some = members.join(large, "k", "left")
-    rest = ["s", "label", "z", *SIGNS]
+    rest = ["s", "label", "z", *SIGNS, "places"]
     plain = some.where("parts is null").select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest)
     dealt = (some.where("parts is not null").withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
              .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -325,9 +360,9 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, block: int = BLOC
     whole = scratch.put(found.join(doubtful.where("doubt").select("k"), "k", "left_semi").select("k", "u", "v"), "whole")
     refused = scratch.put(open_.join(doubtful.where("not doubt and n > 1").select("k"), "k", "left_semi").select("k", "u"), "refused")
     members = (whole.select("k", F.col("u").alias("s")).union(whole.select("k", "v")).union(refused)).distinct()
-    labelled = (members.join(nodes.select("s", "z", *SIGNS), "s")
+    labelled = (members.join(nodes.select("s", "z", *SIGNS, "places"), "s")
                 .join(label.select(F.col("node").alias("s"), F.col("component").alias("label")), "s", "left")
-                .select("k", "s", F.coalesce("label", "s").alias("label"), "z", *SIGNS))
+                .select("k", "s", F.coalesce("label", "s").alias("label"), "z", *SIGNS, "places"))
     more = across(labelled, block).distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
     more = scratch.put(more, "more")
     if more.limit(1).count() == 0:
@@ -346,7 +381,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-copies")
     prints = scratch.put(with_codes(docs), "shingle-codes")
     nodes = scratch.put(prints.groupBy("s").agg(F.min("doc_id").alias("least_id"),
-                                                *(F.first(c).alias(c) for c in ("z", *SIGNS, "codes"))), "distinct-sets")
+                                                *(F.first(c).alias(c) for c in ("z", *SIGNS, "places", "codes"))), "distinct-sets")
     found = connected_components(links(docs, nodes, scratch, block))
     grouped = (nodes.select("s", "least_id").join(found.withColumnRenamed("node", "s"), "s", "left")
                .withColumn("component", F.coalesce("component", "s")))

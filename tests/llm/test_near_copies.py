@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, no_documents, rows
 
 import corpus_pipeline
+from casemesh.llm import common
 from casemesh.llm import near_copies as N
 from casemesh.llm import simhash_golay as S
 
@@ -137,3 +140,51 @@ def test_very_long_texts(spark):
 def test_dotted_columns(spark):
     docs = documents(spark).selectExpr("*", "score AS `a.b`")
     assert N.one_of_each(docs).columns == docs.columns
+
+
+def test_a_large_family_makes_few_pairs_that_are_no_near_copies():
+    """Its members have similarities of about 0.6 with one another; signs alone let most of these pairs pass."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(120):
+        words = [f"w{n}" for n in range(150)]
+        for at in rng.sample(range(2, 140, 2), 4):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = sorted((N.shingle_set(t) for t in [*texts, texts[0].replace("w149", "other")]), key=N.set_digest)
+    _, signs = N.Coder()(sets)
+    digests, same = [N.set_digest(x) for x in sets], [1] * len(sets)
+    table = pa.table([same, same, same, digests, digests, [len(x) for x in sets], *signs.T, [N.least_places(x) for x in sets]],
+                     names=["k", "i", "j", "s", "label", "z", *N.SIGNS, "places"])
+    found = {(u, v) for batch in N._near(table) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    near_by = {N.set_digest(N.shingle_set(t)) for t in (texts[0], texts[0].replace("w149", "other"))}
+    assert (max(near_by), min(near_by)) in found and len(found) < 0.05 * 120 * 119 / 2
+    few = int(sum(np.bitwise_count(signs[a] ^ signs[b]).sum() <= N.FAR for a in range(121) for b in range(a)))
+    assert few > 0.2 * 120 * 119 / 2
+
+
+@pytest.mark.parametrize("size", [5, 40, 146, 700, 5_000])
+def test_places_keep_pairs_of_the_least_similarity(size):
+    rng = np.random.default_rng(size)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        shared = -(-4 * size // 5)
+        cut = shared + (size - shared) // 2
+        sets = [np.unique(x) for x in (both[:cut], np.concatenate([both[:shared], both[cut:]]))]
+        a, b = (np.frombuffer(N.least_places(x), np.uint8)[None] for x in sets)
+        assert N._may_be_alike(a, b, np.array([sum(map(len, sets))])).all()
+
+
+def test_the_driver_lets_go_of_finished_steps(spark, monkeypatch):
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    scratch, before = common.Scratch(spark, "tidied"), collections()
+    monkeypatch.setattr(common, "_tidied", [-1e9])
+    assert scratch.put(spark.range(5), "numbers").count() == 5
+    once = collections()
+    assert once > before
+    scratch.put(spark.range(5), "numbers")  # not again so soon
+    assert collections() == once
+    scratch.drop()
