@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from casemesh.llm.common import map_texts, own_name, slices, stored
-from casemesh.llm.library_ids import encoder_of_worker
+from casemesh.llm.library_ids import byte_characters, encoder_of_worker
 
 #: Distinct stretches a Python worker remembers, and pairs of ids a task counts, before either starts afresh.
 REMEMBERED, HELD = 200_000, 1 << 22
@@ -52,13 +52,6 @@ def stretch(name: str) -> str:
     return name[2:] if name[1:2] == "\0" else name[1:]
 
 
-def byte_characters() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 as it is, the rest from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {**{chr(b): b for b in plain}, **{chr(0x100 + k): b for k, b in enumerate(rest)}}
-
-
 class Aligner:
     """Tokens, groups and linked pairs of stretches; remembers those it has seen."""
 

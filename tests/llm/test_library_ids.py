@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -76,3 +77,24 @@ def test_tables(spark, tokenizer):
     same = library_ids.with_ids(docs, tokenizer).collect()
     assert sorted(((r["doc_id"], r["ids"]) for r in same), key=repr) == sorted(want, key=repr)
     assert bpe_trie.encode_texts(docs.limit(0), tokenizer).collect() == []
+
+
+def test_byte_level_words_go_to_the_faster_library():
+    text = library_ids.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for t in odd_texts(500) if t and t.isascii() and "\t" not in t and "<|" not in t]
+    encoder = library_ids.Encoder(text)
+    want = [e.ids for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
+    encoder.words = None  # the slower one is not asked
+    assert split(*encoder.encode(texts)) == want
+
+
+def test_a_vocabulary_in_another_order_than_its_merges():
+    said = json.loads(library_ids.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json")))
+    vocab = said["model"]["vocab"]
+    first, last = ("".join(m.split(" ") if isinstance(m, str) else m) for m in (said["model"]["merges"][0], said["model"]["merges"][-1]))
+    vocab[first], vocab[last] = vocab[last], vocab[first]
+    text = json.dumps(said)
+    encoder = library_ids.Encoder(text)
+    assert encoder.ranked is None
+    texts = ["the old river is there and then", "a stone of the other thing"]
+    assert split(*encoder.encode(texts)) == [e.ids for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
