@@ -144,8 +144,14 @@ def crime_types(cases: DataFrame) -> DataFrame:
     return cases.select("crime_type").filter(F.col("crime_type").isNotNull()).distinct().orderBy("crime_type")
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """``part`` of ``whole`` to six decimals; of nothing it is not a number, of an unknown it is unknown."""
+    return F.when(whole == 0, F.lit(float("nan"))).otherwise(F.round(part / whole, 6))
+
+
 def text_statistics(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    stats = docs.select("doc_id", text_stats(F.col(text)).alias("_s"))
-    return stats.select("doc_id", "_s.*").withColumn(
-        "alnum_ratio", F.round(F.col("alnum") / F.col("non_space"), 6)).withColumn(
-        "single_ratio", F.round(F.col("single_tokens") / F.col("tokens"), 6))
+    """Sizes of each text and their ratios. A blank text has no ratio (NaN), an unknown text no sizes either (null)."""
+    known = F.when(F.col(text).isNotNull(), text_stats(F.col(text)))
+    return docs.select("doc_id", known.alias("_s")).select("doc_id", "_s.*").withColumn(
+        "alnum_ratio", _share(F.col("alnum"), F.col("non_space"))).withColumn(
+        "single_ratio", _share(F.col("single_tokens"), F.col("tokens")))
