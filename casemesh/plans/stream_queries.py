@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casemesh.plans.access_queries import SUBMISSIONS_WRITE_ONCE
@@ -188,7 +189,8 @@ SELECT doc_id, page, coalesce(text, '') AS text, CAST(coalesce(row_count, 0) AS
 def _(m):
     """Every page's boxes come in three batches; a blank page is announced without any."""
     boxes = m.m_boxes
-    counted = boxes.join(boxes.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("page_boxes")), ["doc_id", "page"])
+    counted = boxes.filter("doc_id IS NOT NULL AND page IS NOT NULL").withColumn(  # counted in passing: words are not laid out twice
+        "page_boxes", F.count("*").over(Window.partitionBy("doc_id", "page")).cast("int"))
     blank = boxes.filter("doc_id % 4 = 0").select("doc_id", F.lit(99).alias("page"), F.lit(0).alias("page_boxes")).distinct()
     rows = counted.unionByName(blank, allowMissingColumns=True).withColumn("part", F.coalesce(F.col("box_no") % PARTS, F.lit(0)))
     rows = rows.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("part")))

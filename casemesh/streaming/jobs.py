@@ -14,11 +14,13 @@ from casemesh.operators import audit, layout, spans
 from casemesh.operators.listing import idempotency_key
 from casemesh.operators.machine import gate_events
 from casemesh.operators.sequence import number_rows
-from casemesh.streaming.processors import (Machine, OrderedLimit, PageBoxes, Replay, SlidingLimit, StuckAlert,
-                                            StuckInEventTime, WriteOnce)
+from casemesh.streaming.processors import (Machine, OrderedLimit, Replay, SlidingLimit, StuckAlert, StuckInEventTime,
+                                            WaitingPages, WriteOnce, pages_together)
 
 #: How long a page's boxes are waited for after the last that came.
 PAGE_PATIENCE_MS = 10 * 60_000
+#: Keys of the state that holds waiting pages, each for its share of them. A stream's state stays bound to this number.
+PAGE_BUCKETS = 1 << 10
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -165,12 +167,15 @@ def whole_pages(boxes: DataFrame, patience_ms: int = PAGE_PATIENCE_MS, at: str =
     Input: box rows with ``page_boxes``, how many boxes their page has, and the event time ``at``. A page that lacks boxes
     when the watermark is ``patience_ms`` past its last one comes out with ``complete`` false.
     """
-    kt = boxes.schema["doc_id"].dataType.simpleString()
+    kind = boxes.schema["doc_id"].dataType
+    none = F.when(F.col("doc_id").isNull(), 1).otherwise(0) + F.when(F.col("page").isNull(), 2).otherwise(0)
     slim = boxes.withWatermark(at, "0 seconds").select(
-        "doc_id", "page", *PageBoxes.COLUMNS, "page_boxes", at, F.unix_millis(at).alias("at_ms"))
-    return slim.groupBy("doc_id", "page").transformWithStateInPandas(
-        statefulProcessor=PageBoxes(patience_ms),
-        outputStructType=f"doc_id {kt}, page INT, {PageBoxes.BOX}, complete BOOLEAN", outputMode="Append", timeMode="EventTime")
+        F.pmod(F.xxhash64("doc_id", "page"), F.lit(PAGE_BUCKETS)).cast("int").alias("bucket"), none.alias("none"),
+        F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), F.coalesce("page", F.lit(0)).cast("int").alias("page"),
+        *WaitingPages.COLUMNS, "page_boxes", at, F.unix_millis(at).alias("at_ms"))
+    return slim.groupBy("bucket").applyInPandasWithState(
+        pages_together(patience_ms), f"doc_id {kind.simpleString()}, page INT, {WaitingPages.BOX}, complete BOOLEAN",
+        WaitingPages.STATE, "append", "EventTimeTimeout")
 
 
 def layout_stream(boxes: DataFrame, out: str, checkpoint: str, patience_ms: int = PAGE_PATIENCE_MS,

@@ -11,7 +11,7 @@ from casemesh.operators import detect, spans
 from casemesh.plans.models import Models
 from casemesh.session import spread
 from casemesh.streaming import jobs as J
-from casemesh.streaming.processors import OrderedLimit, PageBoxes, Replay, StuckInEventTime
+from casemesh.streaming.processors import OrderedLimit, PageBoxes, Replay, StuckInEventTime, WaitingPages
 
 
 
@@ -187,3 +187,52 @@ def test_only_keys_of_the_stream_are_held(spark, tmp_path):
     assert held < 10
     got = {r.seq: (r.from_state, r.reason) for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect()}
     assert got[2] == ("Arrested", None) and got[3][1] == "case_not_found" and got[4][1] == "case_not_found"
+
+
+def test_waiting_pages_share_keys_of_state(spark, tmp_path):
+    """A key a page cost several calls of Python's state for each page and a row of state for each box."""
+    J.use_keyed_state(spark)
+    boxes = spark.range(3 * J.PAGE_BUCKETS).selectExpr(
+        "id AS doc_id", "CAST(IF(id % 5 = 0, NULL, 1) AS INT) AS page", "1 AS box_no", "'w' AS text", "0.5D AS confidence", "1 AS x1", "2 AS y1",
+        "3 AS x2", "4 AS y2", "2 AS page_boxes", "timestamp '2024-01-01' AS at")
+
+    def run(number):
+        later = F.col("at") + F.expr(f"INTERVAL {1 - number} MINUTES")
+        boxes.withColumn("box_no", F.lit(number)).withColumn("at", later).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(boxes.schema).parquet(str(tmp_path / "in"))
+        query = J.whole_pages(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+    assert run(1) <= J.PAGE_BUCKETS
+    assert run(0) <= J.PAGE_BUCKETS
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.filter("complete").groupBy("doc_id", "page").agg(F.sum("box_no").alias("n"), F.count("*").alias("c")).filter(
+        "n = 1 AND c = 2 AND (page IS NULL) = (doc_id % 5 = 0)").count() == 3 * J.PAGE_BUCKETS
+
+
+def test_pages_held_together_come_out_as_those_held_alone():
+    """Over several batches, with boxes that come again or never and nothing for some pages."""
+    columns = ["doc_id", "page", *WaitingPages.COLUMNS, "page_boxes", "at_ms"]
+
+    def row(page, number, of, at, text="w", x1=1):
+        return (None if page == 3 else 7, page, number, text, 0.5, x1, 2, 3, 4, of, at)
+    batches = [[row(1, 0, 3, 5), row(2, 1, 2, 6), row(3, None, 0, 5), row(4, 0, 1, 5, None, None), row(5, 2, 9, 5), row(5, 2, 9, 5, "b")],
+               [row(1, 1, 3, 7), row(1, 0, 3, 7), row(4, 0, 1, 7), row(5, 1, 9, 8, x1=None)], [row(1, 2, 3, 900), row(2, 0, 2, 901)],
+               [row(5, 3, 9, 1500), row(2, 0, 2, 1500)]]
+
+    def run(keys):
+        state, out = {}, []
+        for number, batch in enumerate(batches):
+            for key in keys:
+                rows = [r for r in batch if key is None or r[1] == key]
+                waiting = WaitingPages(1000, state.get(key))
+                frames = (waiting.take(pd.DataFrame(rows, columns=columns)) if rows else []) + waiting.expire(1008 if number == 2 else 0)
+                state[key] = waiting.stored() if waiting.pages else None
+                out += [(number, *("-" if pd.isna(v) else v for v in r)) for f in frames for r in f.itertuples(index=False)]
+        return sorted(out, key=repr)
+    together = run([None])
+    assert together == run([1, 2, 3, 4, 5])
+    assert [(r[0], r[2], r[3], r[-1]) for r in together] == [
+        (0, 3, "-", True), (0, 4, 0, True), (2, 1, 0, True), (2, 1, 1, True), (2, 1, 2, True), (2, 2, 0, True), (2, 2, 1, True)]
